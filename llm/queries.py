@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import langid, minhash
 
 QUERIES = {
+    "op2_minhash_groups": minhash.query,
     "op7_language_id": langid.query,
 }
 
