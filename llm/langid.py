@@ -39,7 +39,7 @@ class Params:
     beta: float = 1.0
     l1: float = 0.02
     l2: float = 0.001
-    min_confidence: float = 0.6
+    min_confidence: float = 0.4
     seed: int = 7
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, minhash
+from . import decontam, langid, linededup, minhash, simple8b
 
 QUERIES = {
+    "op9_decontamination": decontam.query,
+    "op10_token_binary": simple8b.query,
+    "op6_line_dedup": linededup.query,
     "op2_minhash_groups": minhash.query,
     "op7_language_id": langid.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": linededup.SQL,
+}
