@@ -1,29 +1,19 @@
-"""Exact byte-level BPE token ids, with each distinct piece of text encoded once per worker."""
+"""Exact byte-level BPE token ids of whole texts."""
 
 from __future__ import annotations
 
 import base64
 import functools
-import re
-import sys
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
 
-from .kernel import code_points
-
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same split in terms of the standard library; they differ on what _ODD has alone.
-_PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_ODD = np.zeros(sys.maxunicode + 1, bool)
-_ODD[[*range(0x1C, 0x20), *(i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("No", "Nl"))]] = True
-_MOST_PIECES = 400_000
 
 
-class Tokenizer(dict):
-    """Maps a piece to its ids, as uint32 in bytes."""
+class Tokenizer:
+    """Ids of texts; the strings of special tokens are ordinary text."""
 
     def __init__(self, path: str) -> None:
         import tiktoken
@@ -36,27 +26,13 @@ class Tokenizer(dict):
         for piece, rank in ranks.items():
             self.lengths[rank] = len(piece)
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _MOST_PIECES:
-            self.clear()
-        ids = self[piece] = np.array(self.encoding.encode_ordinary(piece), np.uint32).tobytes()
-        return ids
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all rows in one array and the n + 1 row bounds in it."""
-        points, at = code_points(column, lower=False)
-        odd = np.diff(np.concatenate([[0], np.cumsum(_ODD[points])])[at]) > 0
-        each = []
-        for text, whole in zip(column.to_pylist(), odd.tolist()):
-            if not text:
-                each.append(b"")
-            elif whole:
-                each.append(np.array(self.encoding.encode_ordinary(text), np.uint32).tobytes())
-            else:
-                each.append(b"".join(map(self.__getitem__, _PIECES.findall(text))))
+        """The ids of all rows in one uint32 array and the n + 1 row bounds in it."""
+        nothing = np.zeros(0, np.uint32)
+        each = [np.array(self.encoding.encode_ordinary(t), np.uint32) if t else nothing for t in column.to_pylist()]
         bounds = np.zeros(len(each) + 1, np.int64)
-        np.cumsum([len(e) // 4 for e in each], out=bounds[1:])
-        return np.frombuffer(b"".join(each), np.uint32), bounds
+        np.cumsum([len(e) for e in each], out=bounds[1:])
+        return np.concatenate([nothing, *each]), bounds
 
 
 @functools.lru_cache(maxsize=2)
