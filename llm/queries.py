@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, linededup, minhash, mixing, simple8b, toxicity
+from . import decontam, langid, linededup, minhash, mixing, quality, simple8b, toxicity
 
 QUERIES = {
+    "op5_quality": quality.query,
     "op4_toxicity": toxicity.query,
     "op1_mixing": mixing.query,
     "op9_decontamination": decontam.query,

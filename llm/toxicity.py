@@ -9,8 +9,8 @@
    bounds for the blocks, scores the most promising blocks, then all blocks whose bound
    reaches the k-th best cosine so far; so the k nearest are exact (ties: first example).
 3. Neighbours vote by 1 / (distance + 0.1) times cosine, against ``prior_mass`` votes for
-   the share of toxic rows; a logistic curve fitted on sampled rows outside the index turns
-   the vote into a probability. The neighbours are given as evidence.
+   the share of toxic rows; a logistic curve fitted on the sampled rows, each voted on
+   by the others, turns the vote into a probability. The neighbours are given as evidence.
 
 Only the labelled rows are a bounded sample (``labelled_rows``); every document is a query.
 A document is never its own neighbour.
@@ -154,13 +154,11 @@ def build_index(rows: list[tuple], seen: np.ndarray, total: int, p: Params) -> I
     term_of[vocabulary] = np.arange(len(vocabulary))
     idf = np.log((1 + total) / (1 + seen[vocabulary])) + 1
     blank = Index(term_of, idf, *[np.zeros(0, np.int64)] * 6, [], np.zeros(0), prior, (0.0, 0.0))
-    chosen, outside, taken = [], [], [0, 0]
+    chosen, taken = [], [0, 0]
     for row in rows:
         if len(vector(blank, row[2], row[3])[0]) and taken[int(row[1])] < p.examples:
             taken[int(row[1])] += 1
             chosen.append(row)
-        else:
-            outside.append(row)
     vectors = [vector(blank, r[2], r[3]) for r in chosen]
     term = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in vectors]]).astype(np.int64)
     weight = np.concatenate([np.zeros(0), *[v for _, v in vectors]])
@@ -177,11 +175,9 @@ def build_index(rows: list[tuple], seen: np.ndarray, total: int, p: Params) -> I
     )
     if not chosen:
         return index
-    # logistic calibration by Newton's steps, on rows outside the index if there are of both labels, with a small ridge
-    if len({r[1] for r in outside}) < 2:
-        outside = rows
-    x = np.array([vote(index, r[2], r[3], r[0], p)[0] for r in outside])
-    x, y = np.stack([np.ones(len(x)), x], 1), np.array([r[1] for r in outside], np.float64)
+    # logistic calibration by Newton's steps with a small ridge; no row has itself among its neighbours
+    x = np.array([vote(index, r[2], r[3], r[0], p)[0] for r in rows])
+    x, y = np.stack([np.ones(len(x)), x], 1), toxic.astype(np.float64)
     w = np.zeros(2)
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
