@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, linededup, minhash, mixing, quality, simple8b, toxicity
+from . import decontam, langid, linededup, minhash, mixing, quality, simple8b, toxicity, warc
 
 QUERIES = {
+    "op3_warc": warc.query,
     "op5_quality": quality.query,
     "op4_toxicity": toxicity.query,
     "op1_mixing": mixing.query,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc.SQL,
     "op6_line_dedup": linededup.SQL,
 }
