@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, linededup, minhash, mixing, quality, simple8b, toxicity, warc
+from . import decontam, langid, linededup, minhash, mixing, quality, repeats, simple8b, toxicity, warc
 
 QUERIES = {
+    "op8_repeats": repeats.query,
     "op3_warc": warc.query,
     "op5_quality": quality.query,
     "op4_toxicity": toxicity.query,
