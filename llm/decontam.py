@@ -201,19 +201,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: Params = Params
     """The rows of ``docs`` that hold no copy of an item, all columns as they are; nothing is shuffled."""
     out = docs
     for part in _parts(benchmark, params):
-        shared = docs.sparkSession.sparkContext.broadcast(_index(docs, part, params))
+        out = out.where(_clean(docs.sparkSession.sparkContext.broadcast(_index(docs, part, params)), params)(F.col("text")))
+    return out
 
-        @F.arrow_udf("boolean")
-        def clean(parts: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:  # noqa: B006
-            for column in parts:
-                ok = np.ones(len(column), bool)
-                for first, piece in slices(column):
-                    for found in matches(shared.value, Words(piece), params):
-                        ok[first + found[0]] = False
-                yield pa.array(ok)
 
-        out = out.where(clean(F.col("text")))
-    return out
+def _clean(shared, params: Params):
+    @F.arrow_udf("boolean")
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in parts:
+            ok = np.ones(len(column), bool)
+            for first, piece in slices(column):
+                for found in matches(shared.value, Words(piece), params):
+                    ok[first + found[0]] = False
+            yield pa.array(ok)
+
+    return clean
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
