@@ -81,7 +81,8 @@ class _Markdown(HTMLParser):
         self.rows = 0
 
     def gap(self, n: int = 2) -> None:
-        self.out.append("\0" * n)
+        if n > 1 or not (self.out and self.out[-1].endswith("\0")):
+            self.out.append("\0" * n)
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)

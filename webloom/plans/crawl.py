@@ -23,7 +23,8 @@ from webloom.sources import web as source
 
 from .result import AuditLog, CrawlResult, Usage, Verdict
 
-_FRONTIER = "canon string, url string, score double, seq long, source string"
+#: Waves after which frontier and known URLs are written anew.
+COMPACT = 8
 
 
 @dataclass
@@ -94,9 +95,9 @@ class Crawler:
         offers = spark.createDataFrame(rows, "url string, pos long").select(urls.canonical(F.col("url")).alias("canon"), "url", F.lit(float("inf")).alias("score"), F.lit(None).cast("string").alias("source"), "pos")
         nothing = spark.createDataFrame([], "canon string")
         ahead = saved(frontier.push(offers, nothing, ["pos"]), "frontier")
-        known = saved(ahead.select("canon"), "known")
+        known = ahead.select("canon")
         seed_canon = [r["canon"] for r in ahead.select("canon").collect()]
-        resolved, memo = nothing, None
+        landed, memo = set(), None
         path, verdicts, fallbacks, fetched, seq, waves = [], [], {}, 0, len(seeds), []
 
         while fetched < budget:
@@ -108,20 +109,22 @@ class Crawler:
                 break
             if allowed is not None and self.widen:
                 allowed |= {d for d in (urls.domain_key(r["resolved"]) for r in light if r["canon_asked"] in seed_canon and not r["skipped_by_policy"] and r["kind"] in ("html", "pdf")) if d}
-            kept = frontier.fold(outcomes.where("NOT skipped_by_policy"), resolved)
-            kept_pos = {r["pos"] for r in kept.select("pos").collect()}
+            kept_pos = []
             for r in light:
                 if r["skipped_by_policy"]:
                     self.log(f"    [robots] {r['url']}")
-                if r["pos"] in kept_pos:
+                elif r["canon"] not in landed:  # of several that land on one page the first in batch order counts
+                    landed.add(r["canon"])
+                    kept_pos.append(r["pos"])
                     path.append(r["resolved"])
                     if r["via"]:
                         fallbacks[r["resolved"]] = r["via"]
                     fetched += r["kind"] in ("html", "pdf")
                     if r["verdict"] is not None:
                         verdicts.append(Verdict(r["resolved"], r["verdict"]["match"], r["verdict"]["reason"]))
+            kept = outcomes.where(F.col("pos").isin(kept_pos))
             waves.append(kept.withColumn("wave", F.lit(len(waves))))
-            if s.transport_memo_failures > 0:
+            if has_routes and s.transport_memo_failures > 0:
                 hosts = outcomes.where("NOT skipped_by_policy").select(F.explode(F.array_distinct(F.array(urls.domain_of(F.col("url")), urls.domain_of(F.col("resolved"))))).alias("domain"), recovery.is_silence(F.col("error")).alias("silent"))
                 memo = saved(hostmemo.merge(memo, hostmemo.memo(hosts.where("domain <> ''"), "domain", F.col("silent"), 0).drop("written_off")), "memo")
             offered = kept.select(F.col("resolved").alias("source"), "pos", F.posexplode("scored").alias("link_pos", "l")).select("source", "pos", "link_pos", F.col("l.url").alias("url"), F.col("l.score").alias("score"))
@@ -132,10 +135,12 @@ class Crawler:
                 offered = links.within(offered, gate, "url")
             offered = offered.withColumn("canon", urls.canonical(F.col("url")))
             new = saved(frontier.push(offered, known, ["pos", "link_pos"], seq), "push")
-            seq += new.count()
-            resolved = saved(resolved.union(kept.select("canon")), "resolved")
-            ahead = saved(ahead.join(outcomes.select(F.col("canon_asked").alias("canon")), "canon", "left_anti").select(*new.columns).union(new), "frontier")
-            known = saved(known.union(new.select("canon")).union(outcomes.select(F.col("canon_asked"))).distinct(), "known")
+            seq = new.agg(F.max("seq")).first()[0] or seq
+            # all that was popped was pushed before, so it is known already
+            known = known.union(new.select("canon"))
+            ahead = ahead.join(outcomes.select(F.col("canon_asked").alias("canon")), "canon", "left_anti").select(*new.columns).union(new)
+            if len(waves) % COMPACT == 0:  # else both are unions of the waves' tables
+                ahead, known = saved(ahead, "frontier"), saved(known, "known")
         return self._result(spark, waves, store, path, verdicts, fallbacks, fetched, direct)
 
     def _outcomes(self, batch, web, known, policies, overrides, memo, store, seed_domains, direct, has_routes) -> DataFrame:

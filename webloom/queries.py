@@ -267,7 +267,7 @@ def screen_verdicts(spark, sf_dir):
 @query(f"""WITH {_LINKS}, given AS (SELECT page_id, link, max_by(score, score_pos) AS score FROM (
 SELECT page_id, link, pos AS score_pos, {_UNIT.format(u='link')} * 3 - 1 AS score FROM links WHERE pos % 3 <> 0 UNION ALL
 SELECT page_id, link, 1000 + pos, {_UNIT.format(u='anchor')} FROM links WHERE pos % 5 = 1) GROUP BY 1, 2)
-SELECT page_id, pos::INT AS pos, link, coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, score)), 0.0::DOUBLE) AS score FROM links LEFT JOIN given USING (page_id, link)""")
+SELECT page_id, pos::INT AS pos, link, CASE WHEN score IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, score)) END AS score FROM links LEFT JOIN given USING (page_id, link)""")
 def score_links(spark, sf_dir):
     found = all_links(spark, sf_dir)
     first = found.where("pos % 3 <> 0").select("page_id", "link", F.col("pos").alias("score_pos"), (unit(F.col("link")) * 3 - 1).alias("score"))

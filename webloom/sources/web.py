@@ -95,14 +95,15 @@ def fetch(
         got = got.withColumn("__asked", asked).join(best, "__asked", "left")
     else:
         got = got.withColumn("__asked", F.col(key)).withColumn("__best", F.lit(None).cast("struct<body: string, content_type: string, via: string>"))
-    recovered = F.col("__best").isNotNull() & (off | ~good)
-    kind = recovery.kind(F.col("status"), F.col("content_type"), follow_pdf)
+    got = got.withColumn("__recovered", F.col("__best").isNotNull() & (off | ~good))
+    recovered = F.col("__recovered")
     got = (
-        got.withColumn("kind", F.when(recovered, recovery.kind(F.lit(200), F.col("__best.content_type"), follow_pdf)).otherwise(kind))
+        got.withColumn("__kind", recovery.kind(F.col("status"), F.col("content_type"), follow_pdf))
+        .withColumn("kind", F.when(recovered, recovery.kind(F.lit(200), F.col("__best.content_type"), follow_pdf)).otherwise(F.col("__kind")))
         .withColumn("status", F.when(recovered, F.lit(200)).otherwise(F.col("status")))
-        .withColumn("body", F.when(recovered, F.col("__best.body")).when(kind.isin("error", "skipped"), F.lit("")).otherwise(F.col("body")))
+        .withColumn("body", F.when(recovered, F.col("__best.body")).when(F.col("__kind").isin("error", "skipped"), F.lit("")).otherwise(F.col("body")))
         .withColumn("content_type", F.when(recovered, F.col("__best.content_type")).otherwise(F.col("content_type")))
         .withColumn("via", F.when(recovered, F.col("__best.via")))
         .withColumn("resolved", F.when(recovered, F.col("__asked")).otherwise(F.col("resolved")))
     )
-    return got.drop("__off", "__asked", "__best")
+    return got.drop("__off", "__asked", "__best", "__recovered", "__kind")
