@@ -1,0 +1,162 @@
+"""Language ID, quality, toxicity, line removal, kernels: held-out accuracy, brute force, odd rows."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from llm import common, kernel, langid, linededup, quality, toxicity
+
+DATA = "/root/testdata/sf0.001"
+ODD = [None, "", " \n\t", "...", "é" * 5, "word " * 60_000]
+
+
+def odd(make, n=0):
+    """Odd texts, a row without id, repeated rows, columns of clashing names."""
+    df = make([*ODD, *["plain text of some words"] * n], [(None, "no id here", None, None, None), (0, None, None, None, None), (3, "...", "en", "s0", 3)])
+    return df.selectExpr("*", "1 AS predicted", "2 AS __row", "3 AS kept", "4 AS signature", "5 AS score", "6 AS quality")
+
+
+def test_kernel_words_are_the_same_as_one_by_one():
+    texts = ["Hello, wörld a1", None, "", "x", "Hello", "tail hello", "áb c"]
+    words = kernel.Words(pa.array(texts))
+    assert np.diff(words.first).tolist() == [3, 0, 0, 1, 1, 2, 2]
+    assert words.hash[0] == words.hash[words.first[4]] == words.hash[words.first[5] + 1]
+    for a, b in zip(range(7), range(1, 8)):
+        assert words.hash[words.first[a] : words.first[b]].tolist() == kernel.Words(pa.array([texts[a]], pa.string())).hash.tolist()
+    grams, at = kernel.ngrams(words, 2)
+    assert at.tolist() == [0, 1, 5, 7]
+    points, bounds = kernel.code_points(pa.array(texts), lower=False)
+    assert ["".join(map(chr, points[a:b])) for a, b in zip(bounds, bounds[1:])] == [t or "" for t in texts]
+    parts = list(kernel.slices(pa.array(texts), 8))
+    assert [x for _, p in parts for x in p.to_pylist()] == texts and [a for a, _ in parts] == np.cumsum([0] + [len(p) for _, p in parts])[:-1].tolist()
+
+
+def test_language_accuracy_on_rows_it_did_not_see(spark):
+    docs = common.table(spark, DATA, "documents")
+    model = langid.fit(docs.where("doc_id % 2 = 0"))
+    rows = langid.identify(docs.where("doc_id % 2 = 1"), model=model).collect()
+    assert np.mean([r["lang"] == r["predicted"] for r in rows if r["accepted"]]) > 0.97
+    assert np.mean([r["accepted"] for r in rows]) > 0.95
+    assert np.count_nonzero(model.weights) < model.weights.size / 2  # sparse
+
+
+def test_language_odd_rows(make, spark):
+    good = common.table(spark, DATA, "documents").selectExpr("*", "1 AS predicted", "2 AS __row", "3 AS kept", "4 AS signature", "5 AS score", "6 AS quality")
+    df = odd(make).union(good)
+    rows = {(r["doc_id"], i): r for i, r in enumerate(langid.identify(odd(make), model=langid.fit(df)).collect())}
+    assert len(rows) == 9
+    for i in range(4):
+        r = rows[i, i]
+        assert r["predicted"] is None and r["confidence"] == 0 and not r["accepted"]
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and kept.where("text IS NULL OR text = ''").count() == 0
+    assert langid.identify(df.limit(0)).count() == 0 and langid.keep_identified(df.limit(0)).count() == 0
+    alone = langid.identify(odd(make, 2)).collect()  # one label only
+    assert {r["predicted"] for r in alone} == {None, "en"}
+
+
+def labelled(spark, n=300):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    texts, labels = [], []
+    for i in range(n):
+        t = [rng.choice(words) for _ in range(60)]
+        bad = i % 5 == 0
+        for _ in range(3 if bad else 0):
+            t.insert(rng.randrange(60), rng.choice(["grimble", "snarfed", "blorg"]))
+        low = i % 7 == 0
+        texts.append((i, " ".join(t).upper().replace(" ", "!! ") if low else " ".join(t)))
+        labels.append((i, int(not low), int(bad)))
+    return spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity(spark, make):
+    docs, labels = labelled(spark)
+    known = labels.where("doc_id < 200")
+    index = toxicity.fit(docs, known)
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    rows = toxicity.score(docs, known, index=index).collect()
+    unseen = [r for r in rows if r["doc_id"] >= 200]
+    assert np.mean([r["toxic"] == bool(truth[r["doc_id"]]) for r in unseen]) > 0.97
+    assert all(r["doc_id"] not in [e["doc_id"] for e in r["evidence"]] for r in rows)
+    got = toxicity.score(odd(make), known, index=index).collect()
+    assert len(got) == 9 and not any(r["toxic"] or r["evidence"] for r in got)
+    assert toxicity.score(docs.limit(0), known, index=index).count() == 0
+    none = toxicity.score(odd(make), labels.limit(0)).collect()
+    assert len(none) == 9 and all(r["score"] == 0 and not r["toxic"] for r in none)
+
+
+def test_nearest_is_exact():
+    rng = np.random.default_rng(0)
+    rows = [(i, int(i % 2), np.unique(rng.integers(0, 40, 12)), None) for i in range(400)]
+    rows = [(i, y, b, rng.integers(1, 4, len(b))) for i, y, b, _ in rows]
+    rows = [(i, y, np.append(b, 100 + y), np.append(c, 2)) for i, y, b, c in rows]
+    index = toxicity.build_index(rows, np.ones(toxicity.BUCKETS), 400, toxicity.Params(least_chi2=0.0001))
+    dense = np.zeros((400, len(index.idf)))
+    for k, i in enumerate(index.doc_id):
+        t, v = toxicity.vector(index, rows[i][2], rows[i][3])
+        dense[k, t] = v
+    for r in rows[:60]:
+        t, v = toxicity.vector(index, r[2], r[3])
+        query = np.zeros(len(index.idf))
+        query[t] = v
+        cosine = dense[: len(index.doc_id)] @ query
+        best, got = toxicity.nearest(index, t, v, 10)
+        assert np.allclose(got, np.sort(cosine)[::-1][:10]) and np.allclose(cosine[best], got)
+
+
+def test_quality(spark, make):
+    docs, labels = labelled(spark)
+    known = labels.where("doc_id < 200")
+    model = quality.fit(docs, known)
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    unseen = quality.score(docs, known, model=model).where("doc_id >= 200").collect()
+    assert np.mean([(r["verdict"] == "keep") == bool(truth[r["doc_id"]]) for r in unseen]) > 0.97
+    got = quality.score(odd(make), known, model=model).collect()
+    assert len(got) == 9 and [r["verdict"] for r in got if r["quality"] is None] == ["drop"] * 3
+    assert quality.score(docs.limit(0), known, model=model).count() == 0
+    assert {r["verdict"] for r in quality.score(docs, labels.limit(0)).collect()} == {"keep"}
+    column = pa.array(["One two three", "", "x", "One two three, four!"])
+    w = np.random.default_rng(1).normal(size=quality.BUCKETS)
+    one_by_one = [float(w[at] @ share) if len(at) else 0.0 for at, share in quality.features(column)]
+    assert np.allclose(quality.raw_scores(w, column), one_by_one)
+
+
+def test_line_dedup(make):
+    shared = "Terms  of USE"
+    texts = [f"own {i}\n{shared if i % 2 else shared.lower()} \nend {i}\n{shared}" for i in range(7)] + [shared, "", None, "\n\n", "a\na\na\na\na\na\na"]
+    df = make(texts, [(None, shared + "\nx", None, None, None), (1, texts[1], None, None, None)]).selectExpr("*", "1 AS __row", "2 AS hash", "3 AS at")
+    rows = linededup.remove_common_lines(df).collect()
+    by_id = {r["doc_id"]: r for r in rows}
+    assert len(rows) == 14
+    assert all(by_id[i]["text"] == f"own {i}\nend {i}" and by_id[i]["n_dropped"] == 2 for i in range(7))
+    assert (by_id[7]["text"], by_id[8]["text"], by_id[9]["text"], by_id[10]["text"]) == ("", "", None, "\n\n")
+    assert by_id[11]["text"] == texts[11] and by_id[None]["text"] == "x"
+    few = linededup.remove_common_lines(make([shared] * 5)).collect()
+    assert all(r["text"] == shared for r in few)  # as many documents as the threshold stay
+    assert linededup.remove_common_lines(df.limit(0)).count() == 0
+
+
+def test_counts_add_up(spark):
+    parts = spark.range(0, 6, 1, 3).mapInArrow(lambda it: (x for _ in it for x in common.count_rows(np.array([1, 0, 2] + [0] * 40_000 + [5]))), common.COUNTS_SCHEMA)
+    total = common.gathered(common.summed(parts).collect(), 40_004)
+    assert total[[0, 1, 2, 40_003]].tolist() == [3, 0, 6, 15] and total.sum() == 24
+
+
+@pytest.mark.parametrize("name", ["op6_line_dedup", "op3_warc"])
+def test_sql(spark, name):
+    import duckdb
+
+    from llm import queries
+
+    df = queries.QUERIES[name](spark, DATA)
+    columns = sorted(df.columns)
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    answer = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in answer.description]
+    assert sorted(names) == columns
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == sorted((tuple(r[names.index(c)] for c in columns) for r in answer.fetchall()), key=str)
