@@ -97,7 +97,7 @@ def test_failed_stages_cost_their_page_only(spark, site):
             raise RuntimeError
         return True, "ok"
 
-    tables = Web(site({SEED: page("/boom", "/a"), SEED + "boom": page("/never", text="blast"), SEED + "a": '<p>x</p><a href="http://a[b]c.example.com/x">m</a><a href="/y">y</a>'}))
+    tables = Web(site({SEED: page("/boom", "/a"), SEED + "boom": page("/never", text="blast"), SEED + "a": '<p>x</p><a href="https://q[r]s.test/">m</a><a href="/y">y</a>'}))
     r = crawl(spark, tables, provider=provider(screen))
     assert r.path == [SEED, SEED + "boom", SEED + "a"] and [v.url for v in r.verdicts] == [SEED, SEED + "a"] and r.pages_fetched == 3
 

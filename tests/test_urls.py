@@ -15,7 +15,8 @@ CASES = [
 
 def plain(url):
     parts = urlsplit(urldefrag(url).url)
-    return urlunsplit((parts.scheme.lower(), parts.netloc.lower(), parts.path or "/", urlencode(sorted(parse_qsl(parts.query, keep_blank_values=True))), ""))
+    pairs = sorted(parse_qsl(parts[3], True))
+    return urlunsplit([parts[0].lower(), parts[1].lower(), parts[2] or "/", urlencode(pairs), None])
 
 
 def keys(spark, values):

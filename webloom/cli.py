@@ -35,7 +35,10 @@ def load_schema(spec: str):
 
 
 def load_criteria(value: str) -> str:
-    return Path(value[1:]).read_text(encoding="utf-8").strip() if value.startswith("@") else value
+    if value[:1] != "@":
+        return value
+    with open(value[1:], encoding="utf-8") as f:
+        return f.read().strip()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -81,4 +84,5 @@ def main(argv: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    code = main()
+    sys.exit(code)

@@ -13,14 +13,14 @@ from pyspark.sql import types as T
 
 LINKS = "array<struct<anchor: string, url: string>>"
 _LINK_TYPE = pa.list_(pa.struct([("anchor", pa.string()), ("url", pa.string())]))
-_NO_PAGE = ("javascript:", "mailto:", "tel:", "#")
+_NO_PAGE = ("#", *(f"{scheme}:" for scheme in ("tel", "mailto", "javascript")))
 
 
 class _Anchors(HTMLParser):
     """(text, href) of each closed anchor: its first href that isn't empty; one inside another starts anew."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self):
+        HTMLParser.__init__(self)
         self.found: list[tuple[str, str]] = []
         self.href: str | None = None
         self.words: list[str] = []
@@ -52,7 +52,7 @@ def links_of(html: str | None, base: str | None) -> list[tuple[str, str]] | None
         for text, href in parser.found:
             if not href.startswith(_NO_PAGE):
                 url = urldefrag(urljoin(base or "", href)).url
-                if url.startswith(("http://", "https://")):
+                if re.match("https?://", url):
                     first.setdefault(url, text)
     except (ValueError, AssertionError):
         return None
@@ -70,8 +70,8 @@ _BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "nav",
 
 
 class _Markdown(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self):
+        HTMLParser.__init__(self)
         self.out: list[str] = []
         self.skip = 0
         self.lists: list[list] = []

@@ -110,7 +110,7 @@ def domain_keys(entries: Iterable[str]) -> frozenset[str]:
     return frozenset(k for k in map(domain_key, entries) if k)
 
 
-def split_domains(value: str) -> frozenset[str]:
+def split_domains(value):
     """The keys of a comma-separated list."""
     return domain_keys(value.split(","))
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 PAGE = "screen_match boolean, screen_reason string, link_scores array<struct<url: string, score: double>>"
 
 
-def version_stamp(criteria: str, schema_json: str, prompt_signature: str, model_screen: str, model_extract: str, normalize: bool) -> str:
+def version_stamp(*, normalize: bool, model_extract: str, model_screen: str, prompt_signature: str, schema_json: str, criteria: str) -> str:
     """16 hex digits for all that a cached verdict depends on besides the page."""
-    parts = [criteria, schema_json, prompt_signature, model_screen, model_extract, "1" if normalize else "0"]
+    parts = [criteria, schema_json, prompt_signature, f"{model_screen}\0{model_extract}", str(int(normalize))]
     return hashlib.sha256("\0".join(parts).encode()).hexdigest()[:16]
 
 

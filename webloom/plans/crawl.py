@@ -49,18 +49,18 @@ class Crawler:
         schema,
         criteria: str,
         *,
-        provider: Provider | None = None,
-        normalize_html: bool | None = None,
-        prefer_seed_domain: bool | None = None,
-        allowed_domains: Iterable[str] | None = None,
-        allow_seed_redirect_domains: bool = False,
-        user_agent: str | None = None,
-        respect_robots: bool | None = None,
-        robots_overrides: str | None = None,
-        text_filters=None,
         settings: Settings | None = None,
+        provider: Provider | None = None,
         cache=_DEFAULT,
-        log_file: str | None = None,
+        text_filters=None,
+        allowed_domains=None,
+        allow_seed_redirect_domains=False,
+        prefer_seed_domain=None,
+        normalize_html=None,
+        respect_robots=None,
+        robots_overrides=None,
+        user_agent=None,
+        log_file=None,
     ) -> None:
         """allowed_domains: None for no boundary; an empty list for the seeds' domains alone. cache: a store, None for
         none, or by default a Parquet store at the settings' path."""
@@ -75,12 +75,12 @@ class Crawler:
         self._cache = cache
         self.log = AuditLog(self.settings.log_file)
         self.outline = outline.outline_or_json(schema)
-        self.version = kv.version_stamp(criteria, self.outline, self.provider.prompt_signature, self.provider.model_screen, self.provider.model_extract, self.settings.normalize)
+        self.version = kv.version_stamp(normalize=self.settings.normalize, schema_json=self.outline, criteria=criteria, **{k: getattr(self.provider, k) for k in ("prompt_signature", "model_extract", "model_screen")})
 
-    def extract(self, spark: SparkSession, web: Web, seeds: str | Iterable[str], max_fetches: int | None = None, *, seed_is_content: bool | None = None) -> CrawlResult:
+    def extract(self, spark: SparkSession, web: Web, seeds: str | Iterable[str], max_fetches=None, *, seed_is_content=None) -> CrawlResult:
         s = self.settings
-        seeds = [seeds] if isinstance(seeds, str) else list(seeds)
-        if not seeds:
+        seeds = list([seeds] if isinstance(seeds, str) else seeds)
+        if len(seeds) == 0:
             raise ValueError("a crawl needs a seed")
         direct = s.seed_is_content if seed_is_content is None else seed_is_content
         budget = (s.max_fetches if max_fetches is None else max_fetches) * len(seeds)
@@ -210,7 +210,7 @@ class Crawler:
             "u.function", F.lit(provider.model_screen).alias("model"), F.lit(0).alias("seq"), "u.input_tokens", F.lit(0).alias("output_tokens"), F.lit(1).alias("calls"), F.lit(0).alias("cached_input_tokens")
         )
         for r in usage.by_function(events).collect():
-            result.usage_by_function[r["function"]] = Usage(r["input_tokens"], r["output_tokens"], r["calls"], r["cached_input_tokens"])
+            result.usage_by_function[r["function"]] = Usage(**{f: r[f] for f in Usage.__dataclass_fields__})
             result.function_model[r["function"]] = r["model"]
         matched = every.where("verdict.match").select("canon", F.col("resolved").alias("url"), "md", "cache_key")
         count = matched.agg(F.count(F.lit(1)).alias("n"), kv.set_fingerprint(F.col("cache_key")).alias("key")).first()
@@ -227,10 +227,10 @@ class Crawler:
                 fit = consolidate.fit_pages(matched, provider, self.criteria, s.max_context_tokens, s.always_summarize, self.outline)
                 data = provider.extract(fit.text, outline.json_schema(self.schema))
             except Exception as e:  # noqa: BLE001 - a failed stage ends in no data, not in an error
-                self.log(f"    ! extraction failed: {type(e).__name__}: {e}")
+                self.log(f"    ! no extraction: {e!r}")
                 return result
             saved_result = {"data": data, "content_tokens": fit.content_tokens, "extraction_input_tokens": fit.input_tokens, "summarized": fit.summarized}
-            result.usage_by_function["extract"] = Usage(fit.input_tokens, 0, 1, 0)
+            result.usage_by_function["extract"] = Usage(calls=1, input_tokens=fit.input_tokens)
             result.function_model["extract"] = provider.model_extract
             if store is not None and data is not None:
                 store.upsert(spark.createDataFrame([("extract", key, json.dumps(saved_result))], "namespace string, key string, value string"), 0)

@@ -10,16 +10,13 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Usage:
-    input_tokens: int = 0
-    output_tokens: int = 0
     calls: int = 0
+    input_tokens: int = 0
     cached_input_tokens: int = 0
+    output_tokens: int = 0
 
-    def __add__(self, other: "Usage") -> "Usage":
-        return Usage(*(a + b for a, b in zip(self.astuple(), other.astuple())))
-
-    def astuple(self) -> tuple[int, int, int, int]:
-        return self.input_tokens, self.output_tokens, self.calls, self.cached_input_tokens
+    def __add__(self, other):
+        return Usage(*(a + b for a, b in zip(vars(self).values(), vars(other).values())))
 
 
 @dataclass(frozen=True)
@@ -46,15 +43,15 @@ class CrawlResult:
 
     def to_dict(self) -> dict:
         usage = {
-            name: {"model": self.function_model.get(name)} | dict(zip(("input_tokens", "output_tokens", "calls", "cached_input_tokens"), u.astuple()))
+            name: {"model": self.function_model.get(name)} | vars(u)
             for name, u in self.usage_by_function.items()
         }
         plain = ("data", "stopped_reason", "pages_fetched", "protocol", "content_tokens", "extraction_input_tokens", "summarized")
         return {k: getattr(self, k) for k in plain} | {
-            "path": list(self.path),
-            "verdicts": [vars(v).copy() for v in self.verdicts],
-            "fallbacks_used": dict(self.fallbacks_used),
             "usage_by_function": usage,
+            "path": [*self.path],
+            "fallbacks_used": {**self.fallbacks_used},
+            "verdicts": [{**vars(v)} for v in self.verdicts],
         }
 
     def to_json(self) -> str:
@@ -76,6 +73,6 @@ class AuditLog:
         if self.path:
             try:
                 with open(self.path, "a", encoding="utf-8") as f:
-                    f.write(f"{time.strftime('%Y-%m-%d %H:%M:%S')} {line}\n")
+                    f.write(f"{time.strftime('%F %T')} {line}\n")
             except OSError:
                 pass

@@ -275,7 +275,7 @@ def score_links(spark, sf_dir):
     return links.aligned_scores(found, first.union(again), "page_id").select("page_id", "pos", "link", "score")
 
 
-@query(r"""SELECT doc_id, regexp_replace(replace(replace(replace(md, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\[([^\]\n]*)\]\((https?://[^)\s]+)\)', '<a href="\2">\1</a>', 'g') AS html
+@query(r"""SELECT doc_id, regexp_replace(replace(replace(replace(md, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\[([^\n\]]*)\]\(((?:https|http)://[^\s)]+)\)', '<a href="\2">\1</a>', 'g') AS html
 FROM (SELECT doc_id, text || ' <b> & [see ' || lang || '](https://example.com/?a=1&b=' || doc_id || ') [no](/rel)' AS md FROM documents)""")
 def md_to_html(spark, sf_dir):
     md = F.concat(F.col("text"), F.lit(" <b> & [see "), F.col("lang"), F.lit("](https://example.com/?a=1&b="), F.col("doc_id").cast("string"), F.lit(") [no](/rel)"))
