@@ -104,13 +104,22 @@ def runs(grams: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, p: P
     return out[0], out[1]
 
 
+#: Distances are stored with so much added; windows are far below it.
+_FAR = 1 << 20
+
+
+def packed(distance: np.ndarray, before: np.ndarray, after: np.ndarray, diverse: np.ndarray) -> np.ndarray:
+    """Distance, runs and diversity of anchors, each in one number."""
+    return (distance + _FAR) << 41 | before << 21 | after << 1 | diverse
+
+
 def reports(around: np.ndarray, depth: int, n_words: int, p: Params) -> bool:
     """Whether a repeat from ``depth`` words before an anchor on is that anchor's to report.
 
-    around: (distance, run before, run after, diverse) of the anchors near it, in order, itself at distance 0.
+    around: the anchors near it in order, itself at distance 0, as ``packed``.
     """
     first, last = -depth, n_words - depth - p.gram
-    rows = around.tolist()
+    rows = [((x >> 41) - _FAR, x >> 21 & 0xFFFFF, x >> 1 & 0xFFFFF, x & 1) for x in around.tolist()]
     for i, (d, before, after, _) in enumerate(rows):
         if first <= d <= last and min(before, d - first) + 1 + min(after, last - d) >= p.window:
             while i >= 0 and not rows[i][3]:
@@ -292,7 +301,6 @@ def find_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
                     known = {a["at"]: a["diverse"] for a in own}
                     before, after = (x[bounds[i] : bounds[i + 1]] for x in run)
                     diverse = np.array([known.get(a, True) for a in at.tolist()], np.int64)
-                    near = np.stack([at, before, after, diverse], 1)
                     # an anchor that occurs once, and from where on any repeat would have it as its own
                     single = [(a, a - max(0, p.window - 1 - r)) for a, r in zip(at.tolist(), after.tolist()) if a not in known]
                     open_rows: dict[int, int] = {}
@@ -304,10 +312,9 @@ def find_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
                             if since >= a:
                                 end = min(end, since + p.window - 1 + p.gram)
                                 break
-                        t, b = int(h[k] % np.uint64(parts * 4)), max(0, a - p.window)
+                        t, b = int(h[k] % np.uint64(parts * 16)), max(0, a - p.window)
                         x, y = np.searchsorted(at, [a - p.window, a + p.window + 1])
-                        own_near = near[x:y].copy()
-                        own_near[:, 0] -= a
+                        own_near = packed(at[x:y] - a, before[x:y], after[x:y], diverse[x:y])
                         r = open_rows.get(t)
                         if r is None or low[r][1] < b:
                             r = open_rows[t] = len(which)
@@ -360,7 +367,7 @@ def find_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
             if hi - lo < 2:
                 continue
             text, at, until = table[lo:hi, 1], table[lo:hi, 2], table[lo:hi, 3]
-            near = [np.frombuffer(around[i], np.int64).reshape(-1, 4) for i in table[lo:hi, 4].tolist()]
+            near = [np.frombuffer(around[i], np.int64) for i in table[lo:hi, 4].tolist()]
             base = low[text]
             for own, depth, groups in repeats_at(texts, text, at - base, np.zeros(len(text), np.int64), until - base, near, p):
                 out.append((groups[0][0], [ids[t] for t in text[own].tolist()], (at[own] - depth).tolist(), [{"n_words": n, "first": a, "last": b} for n, a, b in groups]))
@@ -371,7 +378,7 @@ def find_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
         if out:
             yield flush()
 
-    return pieces.repartition(parts, "target").mapInArrow(tree, f"n_words long, doc_ids array<{kind}>, starts array<long>, groups array<struct<n_words: long, first: long, last: long>>")
+    return pieces.repartition(parts * 4, "target").mapInArrow(tree, f"n_words long, doc_ids array<{kind}>, starts array<long>, groups array<struct<n_words: long, first: long, last: long>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
