@@ -63,6 +63,10 @@ class Params:
     def gram(self) -> int:
         return self.min_words - self.window + 1
 
+    @property
+    def bits(self) -> int:
+        return (2 * self.window + 1).bit_length()
+
 
 def _sliding(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
     """best of each n values in a row; len(x) - n + 1 results."""
@@ -104,24 +108,27 @@ def runs(grams: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, p: P
     return out[0], out[1]
 
 
-#: Distances are stored with so much added; windows are far below it.
-_FAR = 1 << 20
+def packed(distance: np.ndarray, before: np.ndarray, after: np.ndarray, diverse: np.ndarray, p: Params) -> bytes:
+    """Distance, runs and diversity of anchors, each in one number of as few bytes as the window allows."""
+    b = p.bits
+    return ((distance + p.window) << 2 * b + 1 | before << b + 1 | after << 1 | diverse).astype(np.uint32 if 3 * b < 32 else np.int64).tobytes()
 
 
-def packed(distance: np.ndarray, before: np.ndarray, after: np.ndarray, diverse: np.ndarray) -> np.ndarray:
-    """Distance, runs and diversity of anchors, each in one number."""
-    return (distance + _FAR) << 41 | before << 21 | after << 1 | diverse
+def unpacked(around: bytes, p: Params) -> list[tuple[int, int, int, int]]:
+    b = p.bits
+    low = (1 << b) - 1
+    return [((x >> 2 * b + 1) - p.window, x >> b + 1 & low, x >> 1 & low, x & 1) for x in np.frombuffer(around, np.uint32 if 3 * b < 32 else np.int64).tolist()]
 
 
-def reports(around: np.ndarray, depth: int, n_words: int, p: Params) -> bool:
+def reports(rows: list[tuple[int, int, int, int]], depth: int, n_words: int, window: int, gram: int) -> bool:
     """Whether a repeat from ``depth`` words before an anchor on is that anchor's to report.
 
-    around: the anchors near it in order, itself at distance 0, as ``packed``.
+    rows: distance, runs and diversity of the anchors near it in order, itself at distance 0.
+    Beyond window + gram - 1 + window - 1 words the length makes no difference.
     """
-    first, last = -depth, n_words - depth - p.gram
-    rows = [((x >> 41) - _FAR, x >> 21 & 0xFFFFF, x >> 1 & 0xFFFFF, x & 1) for x in around.tolist()]
+    first, last = -depth, n_words - depth - gram
     for i, (d, before, after, _) in enumerate(rows):
-        if first <= d <= last and min(before, d - first) + 1 + min(after, last - d) >= p.window:
+        if first <= d <= last and min(before, d - first) + 1 + min(after, last - d) >= window:
             while i >= 0 and not rows[i][3]:
                 i -= 1
             return i >= 0 and rows[i][0] == 0
@@ -205,7 +212,7 @@ def repeats_at(texts: list[np.ndarray], text: np.ndarray, at: np.ndarray, low: n
     """Maximal repeats that this anchor has to report: (occurrences, words before the anchor, [(n_words, first, last)]).
 
     Occurrence i is at ``at[i]`` in ``texts[text[i]]``, whose words from ``low`` on are its text's, and whose
-    suffix goes up to ``end``; ``around[i]`` is as in ``reports``.
+    suffix goes up to ``end``; ``around[i]`` is as from ``packed``.
     """
     order, shared = suffix_order(texts, text, at, end)
     text, at, low = text[order], at[order], low[order]
@@ -214,10 +221,25 @@ def repeats_at(texts: list[np.ndarray], text: np.ndarray, at: np.ndarray, low: n
     flat = np.concatenate([texts[t] for t in used.tolist()])
     offset = np.concatenate([[0], np.cumsum([len(texts[t]) for t in used.tolist()])])[where]
     for d in range(p.window):
-        here = at - 1 - d
-        inside = here >= low
+        there = at - 1 - d
+        inside = there >= low
         left[:, d] = -1 - np.arange(len(order))  # a start differs from all
-        left[inside, d] = flat[(offset + here)[inside]]
+        left[inside, d] = flat[(offset + there)[inside]]
+    around = [around[i] for i in order.tolist()]
+    least, enough, width = p.min_words, p.min_words + p.window - 1, p.window
+    gram = p.gram
+    memo: dict[tuple, bool] = {}
+    decoded: dict[bytes, list] = {}
+
+    def here(i: int, n: int, depth: int) -> bool:
+        own = around[i]
+        key = (own, depth, n if n < enough else enough)
+        if key not in memo:
+            if own not in decoded:
+                decoded[own] = unpacked(own, p)
+            memo[key] = reports(decoded[own], depth, n, width, gram)
+        return memo[key]
+
     todo = [(np.arange(len(order)), 0)]
     while todo:
         own, depth = todo.pop()
@@ -232,7 +254,7 @@ def repeats_at(texts: list[np.ndarray], text: np.ndarray, at: np.ndarray, low: n
         found = [
             (depth + length, a, b)
             for length, a, b in intervals([0, *near.tolist()])
-            if length + depth >= p.min_words and changes[a] != changes[b] and reports(around[order[own[a]]], depth, depth + length, p)
+            if length + depth >= least and changes[a] != changes[b] and here(own[a], depth + length, depth)
         ]
         outer: list[tuple[int, int]] = []
         for _, a, b in sorted(found, key=lambda f: (f[1], -f[2])):
@@ -243,12 +265,11 @@ def repeats_at(texts: list[np.ndarray], text: np.ndarray, at: np.ndarray, low: n
             yield order[own[a : b + 1]], depth, inner
         by_word = np.argsort(word, kind="stable")
         cuts = np.flatnonzero(np.diff(word[by_word])) + 1
-        todo += [(np.sort(own[part]), depth + 1) for part in np.split(by_word, cuts) if len(part) > 1 and depth + 1 < p.window]
+        todo += [(np.sort(own[part]), depth + 1) for part in np.split(by_word, cuts) if len(part) > 1 and depth + 1 < width]
 
 
-def find_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """n_words, doc_ids, starts and groups, as the module's text says."""
-    p = params
+def pieces(docs: DataFrame, p: Params) -> DataFrame:
+    """The words around the anchors that may report a repeat, with these anchors; a ``target`` for all pieces of one anchor."""
     spark = docs.sparkSession
     docs, row = common.with_row_id(docs.select("doc_id", "text"))
     parts = common.partitions(spark)
@@ -314,7 +335,7 @@ def find_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
                                 break
                         t, b = int(h[k] % np.uint64(parts * 16)), max(0, a - p.window)
                         x, y = np.searchsorted(at, [a - p.window, a + p.window + 1])
-                        own_near = packed(at[x:y] - a, before[x:y], after[x:y], diverse[x:y])
+                        own_near = packed(at[x:y] - a, before[x:y], after[x:y], diverse[x:y], p)
                         r = open_rows.get(t)
                         if r is None or low[r][1] < b:
                             r = open_rows[t] = len(which)
@@ -323,7 +344,7 @@ def find_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
                             low.append([b, end])
                             marks.append([])
                         low[r][1] = max(low[r][1], end)
-                        marks[r].append((int(h[k].view(np.int64)), a, end, own_near.tobytes()))
+                        marks[r].append((int(h[k].view(np.int64)), a, end, own_near))
                     for r in range(len(data), len(which)):
                         data.append(text[low[r][0] : low[r][1]].tobytes())
                 if which:
@@ -334,9 +355,13 @@ def find_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
                     )
 
     lists = "anchor array<long>, at array<long>, until array<long>, around array<binary>"
-    pieces = joined.select("doc_id", "text", "anchors").mapInArrow(cut, f"target int, doc_id {kind}, low long, words binary, {lists}")
+    return joined.select("doc_id", "text", "anchors").mapInArrow(cut, f"target int, doc_id {kind}, low long, words binary, {lists}")
+
 
-    def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tree(p: Params):
+    """From all pieces of a partition the rows of ``find_repeats``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, lows, ids, rows, around = [], [], [], [], []
         id_type = pa.int64()
         for batch in batches:
@@ -367,7 +392,7 @@ def find_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
             if hi - lo < 2:
                 continue
             text, at, until = table[lo:hi, 1], table[lo:hi, 2], table[lo:hi, 3]
-            near = [np.frombuffer(around[i], np.int64) for i in table[lo:hi, 4].tolist()]
+            near = [around[i] for i in table[lo:hi, 4].tolist()]
             base = low[text]
             for own, depth, groups in repeats_at(texts, text, at - base, np.zeros(len(text), np.int64), until - base, near, p):
                 out.append((groups[0][0], [ids[t] for t in text[own].tolist()], (at[own] - depth).tolist(), [{"n_words": n, "first": a, "last": b} for n, a, b in groups]))
@@ -378,7 +403,14 @@ def find_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
         if out:
             yield flush()
 
-    return pieces.repartition(parts * 4, "target").mapInArrow(tree, f"n_words long, doc_ids array<{kind}>, starts array<long>, groups array<struct<n_words: long, first: long, last: long>>")
+    return run
+
+
+def find_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """n_words, doc_ids, starts and groups, as the module's text says."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"n_words long, doc_ids array<{kind}>, starts array<long>, groups array<struct<n_words: long, first: long, last: long>>"
+    return pieces(docs, params).repartition(common.partitions(docs.sparkSession) * 4, "target").mapInArrow(tree(params), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
