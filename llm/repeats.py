@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 from . import common
 from .kernel import Words, mix, ngrams, slices
 
-#: Above so many bytes of suffixes a group's order comes from prefix doubling instead of sorting them.
-SORT_BYTES = 1 << 25
+#: Bytes of suffixes that sorting copies at a time.
+SORT_BYTES = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -135,56 +135,36 @@ def reports(rows: list[tuple[int, int, int, int]], depth: int, n_words: int, win
     return False
 
 
-def _prefix(a: bytes, b: bytes) -> int:
+def _prefix(a: np.ndarray, b: np.ndarray) -> int:
     """Words that two suffixes have in common."""
-    n = min(len(a), len(b)) // 4
-    differ = np.frombuffer(a, np.uint32, n) != np.frombuffer(b, np.uint32, n)
+    n = min(len(a), len(b))
+    differ = a[:n] != b[:n]
     at = int(differ.argmax()) if n else 0
     return at if n and differ[at] else n
 
 
 def suffix_order(texts: list[np.ndarray], text: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes text[first:end], and the common prefix of each with the one before it."""
-    n = len(first)
-    if int((end - first).sum()) * 4 <= SORT_BYTES:
-        suffixes = [texts[t][a:b].tobytes() for t, a, b in zip(text.tolist(), first.tolist(), end.tolist())]
-        order = sorted(range(n), key=suffixes.__getitem__)
-        shared = [0] + [_prefix(suffixes[i], suffixes[j]) for i, j in zip(order, order[1:])]
-        return np.array(order), np.array(shared)
-    # ranks by prefix doubling over all positions of the texts, where each text, or the stretch of it up to one end, ends by itself
-    lowest: dict[tuple[int, int], int] = {}
-    for t, a, b in zip(text.tolist(), first.tolist(), end.tolist()):
-        lowest[t, b] = min(a, lowest.get((t, b), a))
-    pieces, base, place = [], {}, 0
-    for (t, b), low in lowest.items():
-        base[t, b] = place - low
-        pieces.append(np.concatenate([texts[t][low:b].astype(np.int64) + 1, [0]]))
-        place += len(pieces[-1])
-    joined = np.concatenate(pieces)
-    rank = np.unique(joined, return_inverse=True)[1].astype(np.int64)
-    levels, step = [rank], 1
-    while step < place:
-        ahead = np.zeros(place, np.int64)
-        ahead[:-step] = np.where(joined[:-step] > 0, rank[step:] + 1, 0)
-        rank = np.unique(rank * (place + 2) + ahead, return_inverse=True)[1].astype(np.int64)
-        levels.append(rank)
-        step *= 2
-        if len(levels) > 2 and (levels[-1] == levels[-2]).all():
-            break
-    at = first + np.array([base[t, b] for t, b in zip(text.tolist(), end.tolist())])
-    order = np.lexsort((np.arange(n), rank[at]))
-    x, y = at[order[:-1]].copy(), at[order[1:]].copy()
-    most = np.minimum((end - first)[order[:-1]], (end - first)[order[1:]])
-    shared = np.zeros(n - 1, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        inside = (x < place) & (y < place)
-        same = np.zeros(n - 1, bool)
-        same[inside] = levels[k][x[inside]] == levels[k][y[inside]]
-        same &= shared < most
-        shared[same] += 1 << k
-        x[same] += 1 << k
-        y[same] += 1 << k
-    return order, np.concatenate([[0], np.minimum(shared, most)])
+    """The order of the suffixes text[first:end], and the common prefix of each with the one before it.
+
+    Suffixes are sorted by a block of words; those that tie, by the next block, and so on. A
+    block is as long as ``SORT_BYTES`` for all that tie allow, so no more is copied at a time.
+    """
+    views = [texts[t][a:b] for t, a, b in zip(text.tolist(), first.tolist(), end.tolist())]
+    order = list(range(len(views)))
+    todo = [(0, len(views), 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        block = max(16, SORT_BYTES // 4 // (hi - lo))
+        keyed = sorted((views[i][depth : depth + block].tobytes(), i) for i in order[lo:hi])
+        order[lo:hi] = [i for _, i in keyed]
+        run = 0
+        for k in range(1, hi - lo + 1):
+            if k == hi - lo or keyed[k][0] != keyed[run][0]:
+                if k - run > 1 and len(keyed[run][0]) == 4 * block:
+                    todo.append((lo + run, lo + k, depth + block))
+                run = k
+    shared = [0] + [_prefix(views[i], views[j]) for i, j in zip(order, order[1:])]
+    return np.array(order), np.array(shared)
 
 
 def _between(shared: np.ndarray, own: np.ndarray) -> np.ndarray:

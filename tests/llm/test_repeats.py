@@ -49,7 +49,7 @@ def test_equal_to_brute_force(make, seed):
     assert listed(df, texts) == brute(texts, 6)
 
 
-def test_period_and_prefix_doubling(make, monkeypatch):
+def test_period_and_blocks_of_words(make, monkeypatch):
     texts = [["a"] * 40, ["a", "b"] * 15, list("abcabcabcabcabc")]
     want = brute(texts, 6)
     df = make([" ".join(t) for t in texts])
@@ -60,8 +60,10 @@ def test_period_and_prefix_doubling(make, monkeypatch):
     end = repeats.np.array([40, 40, 40, 30, 30, 12])
     plain = repeats.suffix_order(column, text, first, end)
     monkeypatch.setattr(repeats, "SORT_BYTES", 0)
-    doubled = repeats.suffix_order(column, text, first, end)
-    assert [x.tolist() for x in plain] == [x.tolist() for x in doubled]
+    blocks = repeats.suffix_order(column, text, first, end)
+    assert [x.tolist() for x in plain] == [x.tolist() for x in blocks]
+    rows = repeats.find_repeats(make(["word " * 3000]), Params(50)).collect()
+    assert sum(len(r["groups"]) for r in rows) == 3000 - 50
 
 
 def test_odd_rows(make, spark):
