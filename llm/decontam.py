@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-1. The word n-grams of the benchmark items are counted over all documents.
-2. In every ``window`` consecutive n-grams of an item the rarest one is a seed (ties: the
-   least hash). So every ``window + seed_words - 1`` words in a row that a document leaves
-   as they are hold a seed; common n-grams are used only where an item has none rarer.
-3. Where a document has seeds of an item, the item is aligned with the stretch of the
-   document around them (match +2, mismatch -1, gap -1). similarity is the score over that
-   of the whole item; pairs at ``min_similarity`` or more are returned.
+1. Every word n-gram of a benchmark item is a seed, so every ``seed_words`` words in a row
+   that a document leaves as they are hold one. A copy without such a run isn't found.
+2. Where a document has seeds of an item, the item is aligned with the stretch of the
+   document around them (match +2, mismatch -1, gap -1), unless the stretch holds too few
+   of the item's words for the threshold whatever their order. similarity is the score over
+   that of the whole item; pairs at ``min_similarity`` or more are returned.
 
 The seed index goes to the executors in parts of at most ``part_chars`` characters of
 benchmark text; a larger benchmark takes one pass over the documents for each part.
@@ -38,7 +37,6 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 @dataclass(frozen=True)
 class Params:
     seed_words: int = 4
-    window: int = 3
     min_similarity: float = 0.5
     part_chars: int = 64_000_000
 
@@ -71,19 +69,12 @@ def _find(hashes: np.ndarray, quick: np.ndarray, grams: np.ndarray) -> tuple[np.
     return maybe[ok], at[ok]
 
 
-def build_index(items: list[tuple], frequency: dict[int, int], p: Params) -> Index:
+def build_index(items: list[tuple], p: Params) -> Index:
     words = Words(pa.array([t for _, t in items], pa.string()))
     grams, position = ngrams(words, p.seed_words)
     item = words.row()[position]
-    count = np.array([frequency.get(g, 0) for g in grams.tolist()], np.int64)
-    chosen: set[int] = set()
-    bounds = np.searchsorted(item, np.arange(words.n + 1))
-    for lo, hi in zip(bounds, bounds[1:]):
-        for i in range(lo, max(lo + 1, hi - p.window + 1) if hi > lo else lo):
-            chosen.add(min(range(i, min(i + p.window, hi)), key=lambda k: (count[k], grams[k])))
-    at = np.array(sorted(chosen), np.int64)
-    at = at[np.argsort(grams[at], kind="stable")]
-    return Index([i for i, _ in items], words.hash, words.first, grams[at], item[at], position[at] - words.first[item[at]], _quick(grams[at]))
+    at = np.argsort(grams, kind="stable")
+    return Index([i for i, _ in items], words.hash, words.first, grams[at], item[at], position[at] - words.first[item[at]], _quick(grams))
 
 
 def _last_row_best(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -136,6 +127,9 @@ def matches(index: Index, words: Words, p: Params) -> Iterator[tuple[int, int, f
             else:
                 stretches.append([a, b])
         for a, b in stretches:
+            # each match takes a word of the stretch that the item has, so this bounds the score
+            if MATCH * np.count_nonzero(np.isin(words.hash[a:b], item)) < p.min_similarity * MATCH * len(item):
+                continue
             score, first, end = align(item, words.hash[a:b])
             if score > best[0]:
                 best = (score, a + first - lo, a + end - lo)
@@ -150,25 +144,8 @@ def _parts(benchmark: DataFrame, p: Params) -> list[DataFrame]:
     return [usable if n <= 1 else usable.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
 
 
-def _index(docs: DataFrame, part: DataFrame, p: Params) -> Index:
-    items = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    hashes = np.unique(ngrams(Words(pa.array([t for _, t in items], pa.string())), p.seed_words)[0])
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((hashes, _quick(hashes)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(shared.value[0]), np.int64)
-        for batch in batches:
-            for _, column in slices(batch.column(0)):
-                words = Words(column)
-                grams, position = ngrams(words, p.seed_words)
-                hit, at = _find(*shared.value, grams)
-                pairs = np.unique(words.row()[position[hit]] * len(seen) + at) if len(hit) else hit
-                np.add.at(seen, pairs % max(len(seen), 1), 1)
-        yield from common.count_rows(seen)
-
-    counts = common.gathered(common.summed(docs.select("text").mapInArrow(count, common.COUNTS_SCHEMA)).collect(), len(hashes))
-    return build_index(items, dict(zip(hashes.tolist(), counts.tolist())), p)
+def _index(part: DataFrame, p: Params) -> Index:
+    return build_index(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), p)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
@@ -177,7 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
     schema = f"doc_id {id_kind}, item_id {item_kind}, similarity double, first_word long, end_word long"
 
     def search(part: DataFrame) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(_index(docs, part, params))
+        shared = docs.sparkSession.sparkContext.broadcast(_index(part, params))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -201,7 +178,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: Params = Params
     """The rows of ``docs`` that hold no copy of an item, all columns as they are; nothing is shuffled."""
     out = docs
     for part in _parts(benchmark, params):
-        out = out.where(_clean(docs.sparkSession.sparkContext.broadcast(_index(docs, part, params)), params)(F.col("text")))
+        out = out.where(_clean(docs.sparkSession.sparkContext.broadcast(_index(part, params)), params)(F.col("text")))
     return out
 
 

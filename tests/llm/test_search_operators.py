@@ -117,6 +117,23 @@ def test_decontamination(make, spark):
     assert decontam.decontaminate(df, benchmark.limit(0)).count() == df.count()
 
 
+def test_edited_copies_with_an_intact_seed_are_found(make, spark):
+    rng = random.Random(13)
+    items = [prose(rng, n) for n in range(15, 60)]
+    regular = [[f"x{i}" if i % 5 == 4 else w for i, w in enumerate(t)] for t in items]
+    short = [prose(rng, rng.randrange(15, 26)) for _ in range(90)]
+    scattered = [edited(rng, t, (0.1, 0.2, 0.3)[i % 3]) for i, t in enumerate(short)]
+    want, every = set(), 0
+    for i, (item, copy) in enumerate(zip(items + short, regular + scattered)):
+        if smith_waterman(item, copy) / (2 * len(item)) >= 0.5:
+            every += 1
+            if {tuple(item[k : k + 4]) for k in range(len(item) - 3)} & {tuple(copy[k : k + 4]) for k in range(len(copy) - 3)}:
+                want.add(i)
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items + short)], "item_id long, text string")
+    found = {r["doc_id"] for r in decontam.contaminated(make([" ".join(t) for t in regular + scattered]), benchmark).collect() if r["doc_id"] == r["item_id"]}
+    assert found == want and set(range(45)) <= want and len(want) >= 0.9 * every, (len(found), len(want), every)
+
+
 def test_permutation():
     for n in (1, 2, 3, 10, 64, 65, 1000):
         for key in (0, 5, 1 << 60):
