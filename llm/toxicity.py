@@ -1,13 +1,14 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 1. Words are hashed to ``BUCKETS`` terms; their document frequencies are counted over all
-   documents. The vocabulary holds the terms whose presence depends on the label among the
-   sampled labelled rows (chi-square at or above ``least_chi2``). A document's vector is
-   (1 + ln tf) * idf over that vocabulary, scaled to length 1.
-2. Up to ``examples`` rows of each label make an inverted index in blocks of ``BLOCK``
-   examples, with the largest weight of each term in each block. A query sums these to
-   bounds for the blocks, scores the most promising blocks, then all blocks whose bound
-   reaches the k-th best cosine so far; so the k nearest are exact (ties: first example).
+   documents. A document's vector is (1 + ln tf) * idf * sqrt(1 + chi2 / ``least_chi2``)
+   over all its terms, scaled to length 1; chi2 is that of a term's presence and the label
+   among the sampled labelled rows (0 for a term of none of them), so a term whose presence
+   depends on the label weighs more and none is left out.
+2. Up to ``examples`` rows of each label make an inverted index. Terms that more than one
+   in ``DENSE`` examples hold are rows of a matrix instead, multiplied with many queries at
+   once. Every example's cosine is summed whole, so the k nearest are exact (ties, to 12
+   digits: first example).
 3. Neighbours vote by 1 / (distance + 0.1) times cosine, against ``prior_mass`` votes for
    the share of toxic rows; a logistic curve fitted on the sampled rows, each voted on
    by the others, turns the vote into a probability. The neighbours are given as evidence.
@@ -16,10 +17,10 @@ Only the labelled rows are a bounded sample (``labelled_rows``); every document
 A document is never its own neighbour.
 
 Defined results for odd input: null and empty texts, and texts without a term of the
-vocabulary, have no neighbours and the probability of a bare prior; labels that are null,
+examples, have no neighbours and the probability of a bare prior; labels that are null,
 or whose document is missing, are not used; of several labels of one doc_id any toxic one
 counts; rows without doc_id are scored as any other; repeated rows give repeated results;
-with no labelled rows, or all of one label, the vocabulary is empty, toxic is false and the
+with no labelled rows, or all of one label, there are no examples, toxic is false and the
 score is the share of toxic rows; an empty table gives an empty result; other columns
 are not read.
 """
@@ -38,7 +39,8 @@ from . import common
 from .kernel import Words, slices
 
 BUCKETS = 1 << 18
-BLOCK = 32
+DENSE = 10
+QUERIES = 256
 
 
 @dataclass(frozen=True)
@@ -54,16 +56,16 @@ class Params:
 
 @dataclass(frozen=True)
 class Index:
-    """Terms of the vocabulary and their postings, grouped by (term, block)."""
+    """Weights of all terms; the terms that labelled rows hold, and their examples."""
 
+    weight: np.ndarray  # bucket -> idf and association with the label
     term_of: np.ndarray  # bucket -> number of its term, or -1
-    idf: np.ndarray
-    group_first: np.ndarray  # term -> its first (term, block) group
-    group_block: np.ndarray
-    group_max: np.ndarray
-    posting_first: np.ndarray  # group -> its first posting
+    idf: np.ndarray  # term -> its weight
+    row_of: np.ndarray  # term -> its row of common, or -1
+    common: np.ndarray
+    posting_first: np.ndarray  # term -> its first posting
     posting: np.ndarray  # example
-    weight: np.ndarray
+    value: np.ndarray
     doc_id: list
     toxic: np.ndarray
     prior: float
@@ -91,50 +93,43 @@ def _spans(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vector(index: Index, bucket: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms known to the index and their parts of the vector, whose length is that over all terms."""
+    value = (1 + np.log(count)) * index.weight[bucket]
+    value /= max(float(np.sqrt(value @ value)), 1e-12)
     term = index.term_of[bucket]
     known = term >= 0
-    term = term[known]
-    value = (1 + np.log(count[known])) * index.idf[term]
-    return term, value / max(float(np.sqrt(value @ value)), 1e-12)
+    return term[known], value[known]
+
+
+def search(index: Index, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each vector the k examples of the greatest positive cosine and these cosines, exactly, best first."""
+    for at in range(0, len(vectors), QUERIES):
+        part = vectors[at : at + QUERIES]
+        queries = np.zeros((len(part), len(index.common)))
+        for query, (term, value) in zip(queries, part):
+            row = index.row_of[term]
+            query[row[row >= 0]] = value[row >= 0]
+        for cosine, (term, value) in zip(queries @ index.common, part):
+            posting, of = _spans(index.posting_first[term], index.posting_first[term + 1])
+            cosine += np.bincount(index.posting[posting], value[of] * index.value[posting], len(cosine))
+            cosine = np.round(cosine, 12)
+            kth = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
+            some = np.flatnonzero((cosine > 0) & (cosine >= kth))
+            best = some[np.argsort(-cosine[some], kind="stable")][:k]
+            yield best, cosine[best]
 
 
 def nearest(index: Index, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k examples of the greatest positive cosine and these cosines, exactly, best first."""
-    group, of = _spans(index.group_first[term], index.group_first[term + 1])
-    n_blocks = -(-len(index.doc_id) // BLOCK)
-    bound = np.bincount(index.group_block[group], value[of] * index.group_max[group], n_blocks)
-    order = np.argsort(-bound, kind="stable")
-    cosine = np.zeros(len(index.doc_id))
-
-    def scan(blocks: np.ndarray) -> None:
-        wanted = np.zeros(n_blocks, bool)
-        wanted[blocks] = True
-        own = wanted[index.group_block[group]]
-        at, g = _spans(index.posting_first[group[own]], index.posting_first[group[own] + 1])
-        cosine[:] += np.bincount(index.posting[at], value[of[own]][g] * index.weight[at], len(cosine))
-
-    ahead = -(-2 * k // BLOCK)
-    scan(order[:ahead])
-    kth = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
-    rest = order[ahead:]
-    rest = rest[(bound[rest] >= kth * (1 - 1e-9)) & (bound[rest] > 0)]
-    if len(rest):
-        scan(rest)
-    some = np.flatnonzero(cosine > 0)
-    best = some[np.argsort(-cosine[some], kind="stable")][:k]
-    return best, cosine[best]
-
-
-def vote(index: Index, bucket: np.ndarray, count: np.ndarray, doc_id, p: Params) -> tuple[float, np.ndarray, np.ndarray]:
-    """The share of votes for toxic, before calibration, and the neighbours."""
-    term, value = vector(index, bucket, count)
-    if not len(term):
-        return index.prior, np.zeros(0, np.int64), np.zeros(0)
-    best, cosine = nearest(index, term, value, p.neighbours + 1)
-    other = np.array([doc_id is None or index.doc_id[i] != doc_id for i in best], bool)
-    best, cosine = best[other][: p.neighbours], cosine[other][: p.neighbours]
-    weight = cosine / (1.1 - np.minimum(cosine, 1))
-    return float((weight @ index.toxic[best] + p.prior_mass * index.prior) / (weight.sum() + p.prior_mass)), best, cosine
+    return next(search(index, [(term, value)], k))
+
+
+def votes(index: Index, rows: list[tuple[np.ndarray, np.ndarray]], ids: list, p: Params) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """For each row's buckets and counts the share of votes for toxic, before calibration, and the neighbours."""
+    for doc_id, (best, cosine) in zip(ids, search(index, [vector(index, *r) for r in rows], p.neighbours + 1)):
+        other = np.array([doc_id is None or index.doc_id[i] != doc_id for i in best], bool)
+        best, cosine = best[other][: p.neighbours], cosine[other][: p.neighbours]
+        weight = cosine / (1.1 - np.minimum(cosine, 1))
+        yield float((weight @ index.toxic[best] + p.prior_mass * index.prior) / (weight.sum() + p.prior_mass)), best, cosine
 
 
 def build_index(rows: list[tuple], seen: np.ndarray, total: int, p: Params) -> Index:
@@ -149,34 +144,37 @@ def build_index(rows: list[tuple], seen: np.ndarray, total: int, p: Params) -> I
     held = a + b
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = n * (a * (n - n_toxic - b) - b * (n_toxic - a)) ** 2 / (held * (n - held) * float(n_toxic) * (n - n_toxic))
-    vocabulary = np.flatnonzero(np.nan_to_num(chi2) >= p.least_chi2)
+    both = 0 < n_toxic < n
+    vocabulary = np.flatnonzero(held) if both else np.zeros(0, np.int64)
     term_of = np.full(BUCKETS, -1, np.int32)
     term_of[vocabulary] = np.arange(len(vocabulary))
-    idf = np.log((1 + total) / (1 + seen[vocabulary])) + 1
-    blank = Index(term_of, idf, *[np.zeros(0, np.int64)] * 6, [], np.zeros(0), prior, (0.0, 0.0))
+    weight = (np.log((1 + total) / (1 + seen)) + 1) * np.sqrt(1 + np.nan_to_num(chi2, posinf=0.0) / p.least_chi2)
+    index = Index(weight, term_of, weight[vocabulary], np.zeros(0, np.int64), np.zeros((0, 0)), *[np.zeros(0, np.int64)] * 3, [], np.zeros(0), prior, (0.0, 0.0))
     chosen, taken = [], [0, 0]
     for row in rows:
-        if len(vector(blank, row[2], row[3])[0]) and taken[int(row[1])] < p.examples:
+        if both and len(row[2]) and taken[int(row[1])] < p.examples:
             taken[int(row[1])] += 1
             chosen.append(row)
-    vectors = [vector(blank, r[2], r[3]) for r in chosen]
+    vectors = [vector(index, r[2], r[3]) for r in chosen]
     term = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in vectors]]).astype(np.int64)
-    weight = np.concatenate([np.zeros(0), *[v for _, v in vectors]])
+    value = np.concatenate([np.zeros(0), *[v for _, v in vectors]])
     example = np.repeat(np.arange(len(chosen)), [len(t) for t, _ in vectors])
+    often = np.flatnonzero(np.bincount(term, minlength=len(vocabulary)) * DENSE > len(chosen))
+    row_of = np.full(len(vocabulary), -1, np.int32)
+    row_of[often] = np.arange(len(often))
+    common_rows = np.zeros((len(often), len(chosen)))
+    dense = row_of[term] >= 0
+    common_rows[row_of[term[dense]], example[dense]] = value[dense]
+    term, value, example = term[~dense], value[~dense], example[~dense]
     order = np.lexsort((example, term))
-    term, weight, example = term[order], weight[order], example[order]
-    key = term * (1 << 32) + example // BLOCK
-    posting_first = np.flatnonzero(np.diff(key, prepend=-1))
-    group_term, group_block = term[posting_first], example[posting_first] // BLOCK
-    group_max = np.maximum.reduceat(weight, posting_first) if len(posting_first) else np.zeros(0)
     index = Index(
-        term_of, idf, np.searchsorted(group_term, np.arange(len(vocabulary) + 1)), group_block, group_max, np.append(posting_first, len(term)), example, weight,
+        weight, term_of, weight[vocabulary], row_of, common_rows, np.searchsorted(term[order], np.arange(len(vocabulary) + 1)), example[order].astype(np.int32), value[order],
         [r[0] for r in chosen], np.array([r[1] for r in chosen], np.float64), prior, (0.0, 0.0),
     )
     if not chosen:
         return index
     # logistic calibration by Newton's steps with a small ridge; no row has itself among its neighbours
-    x = np.array([vote(index, r[2], r[3], r[0], p)[0] for r in rows])
+    x = np.array([share for share, _, _ in votes(index, [r[2:] for r in rows], [r[0] for r in rows], p)])
     x, y = np.stack([np.ones(len(x)), x], 1), toxic.astype(np.float64)
     w = np.zeros(2)
     for _ in range(50):
@@ -238,8 +236,7 @@ def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), index:
             ids = batch.column(0).to_pylist()
             scores, evidence = [], []
             for first, part in slices(batch.column(1)):
-                for i, (bucket, count) in enumerate(terms(part), first):
-                    share, best, cosine = vote(index, bucket, count, ids[i], params)
+                for share, best, cosine in votes(index, list(terms(part)), ids[first : first + len(part)], params):
                     scores.append(probability(index, share))
                     evidence.append([{"doc_id": index.doc_id[j], "cosine": c, "toxic": bool(index.toxic[j])} for j, c in zip(best.tolist(), cosine.tolist())])
             scored = np.array(scores)

@@ -107,6 +107,30 @@ def test_nearest_is_exact():
         assert np.allclose(got, np.sort(cosine)[::-1][:10]) and np.allclose(cosine[best], got)
 
 
+def test_evidence_is_that_of_all_terms(spark):
+    """At production parameters, against cosines summed one by one over every word."""
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(400)]
+    texts = [[rng.choice(words) for _ in range(rng.randrange(5, 40))] + (["grimble"] if i % 4 == 0 and i > 60 else []) for i in range(200)]
+    texts.append(list(texts[0]))  # equals a toxic example without a telling word
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    n, n_toxic = 120, 30
+    weight = {}
+    for w in {w for t in texts for w in t}:
+        a, b = (sum(w in texts[i] for i in range(120) if (i % 4 == 0) == y) for y in (True, False))
+        chi2 = n * (a * (n - n_toxic - b) - b * (n_toxic - a)) ** 2 / ((a + b) * (n - a - b) * n_toxic * (n - n_toxic)) if a + b else 0
+        weight[w] = (np.log((1 + len(texts)) / (1 + sum(w in t for t in texts))) + 1) * np.sqrt(1 + chi2 / 30)
+    vectors = [{w: (1 + np.log(t.count(w))) * weight[w] for w in set(t)} for t in texts]
+    norms = [np.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    got = {r["doc_id"]: r["evidence"] for r in toxicity.score(docs, labels).collect()}
+    for d in range(len(texts)):
+        cosine = {i: sum(x * vectors[i].get(w, 0) for w, x in vectors[d].items()) / norms[d] / norms[i] for i in range(120) if i != d}
+        assert np.allclose([e["cosine"] for e in got[d]], sorted(cosine.values(), reverse=True)[:15])
+        assert all(abs(cosine[e["doc_id"]] - e["cosine"]) < 1e-9 for e in got[d])
+    assert got[200][0]["doc_id"] == 0 and got[200][0]["toxic"] and abs(got[200][0]["cosine"] - 1) < 1e-9
+
+
 def test_quality(spark, make):
     docs, labels = labelled(spark)
     known = labels.where("doc_id < 200")
