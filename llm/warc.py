@@ -13,7 +13,8 @@ Defined results for odd input: a file of several gzip members, one per record or
 read as their concatenation; an empty file has no records; records without a target URI
 have a null one; blank lines between records are skipped; where the stream ends or breaks
 inside a record, the records before it are kept and one index row with null offset and
-length and ``problem`` set tells so; records that are alike are all kept. In the table
+length and ``problem`` set tells so; a malformed header gives such a row too, and reading
+goes on at the next line that begins with ``WARC/``; header lines may end in LF alone; records that are alike are all kept. In the table
 writer a null html makes a record of type ``metadata``, an empty one an empty record; line
 ends in a URL are percent-encoded; null ids and URLs are left out of the header; an empty
 table gives no files and an empty result; columns besides page_id, url and html are not read.
@@ -22,6 +23,7 @@ table gives no files and an empty result; columns besides page_id, url and html
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -99,6 +101,15 @@ class _Inflated:
         out, self.buffer = self.buffer[: end + 1], self.buffer[end + 1 :]
         return out
 
+    def seek_record(self) -> bool:
+        """Drops what comes before the next line that begins with WARC/."""
+        while (at := self.buffer.find(b"\nWARC/")) < 0:
+            self.buffer = self.buffer[-5:]
+            if self.broken or not self._more():
+                return False
+        self.buffer = self.buffer[at + 1 :]
+        return True
+
     def blocks(self, n: int) -> Iterator[bytes]:
         while n:
             if not self.buffer and (self.broken or not self._more()):
@@ -125,8 +136,15 @@ def normalise_file(path: str, target: str, level: int = 6) -> Iterator[tuple]:
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
         size = fields.get("content-length", "")
-        if line is None or not header[0].startswith(b"WARC/") or not size.isdigit():
-            problem = "truncated" if line is None else "malformed"
+        if line is None:
+            problem = "truncated"
+            break
+        if not header[0].startswith(b"WARC/") or not re.fullmatch("[0-9]+", size):
+            yield (target, number, None, None, None, None, None, None, None, "malformed")
+            source.buffer = b"\n" + b"".join(header[1:]) + line + source.buffer
+            if source.seek_record():
+                continue
+            problem = "truncated" if source.broken else None
             break
         start, member, digest, left = out.at, zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha256(), int(size)
         held = [member.compress(b"".join(header) + b"\r\n")]
@@ -183,8 +201,8 @@ def read_record(handle, offset: int, length: int) -> tuple[dict, bytes]:
     data = engine.decompress(handle.read(length))
     if not engine.eof or engine.unused_data:
         raise ValueError(f"no single gzip member at {offset}, {length}")
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+    head, rest = re.split(rb"\r?\n\r?\n", data, maxsplit=1)
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in re.split("\r?\n", head.decode())[1:])}
     return fields, rest[: int(fields["content-length"])]
 
 

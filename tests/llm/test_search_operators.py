@@ -228,6 +228,20 @@ def record(body, uri=b"http://x/"):
     return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: " + uri + b"\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
 
 
+def test_warc_goes_on_after_a_malformed_header(tmp_path):
+    bad = [b"WARC/1.0\r\nWARC-Type: response\r\n\r\nno length\r\n\r\n", b"WARC/1.0\r\nContent-Length: many\r\n\r\n" + b"x\n" * 800_000, b"stray line\r\n", record(b"lf").replace(b"Length: 2", b"Length: -2")]
+    bodies = [b"one", b"two\r\n\r\n", b"three", b"four"]
+    raw = b"".join(x for b, body in zip(bad, bodies) for x in (b, record(body))) + record(b"five\r\n\r\n").replace(b"\r\n", b"\n")
+    raw = raw.replace(b"Length: 8\n\n", b"Length: 6\n\n")
+    (tmp_path / "bad").write_bytes(gzip.compress(raw))
+    target = str(tmp_path / "out" / "bad.warc.gz")
+    rows = list(warc.normalise_file(str(tmp_path / "bad"), target))
+    assert [r[9] for r in rows] == ["malformed", None] * 4 + [None]
+    with open(target, "rb") as f:
+        got = [warc.read_record(f, r[2], r[3]) for r in rows if r[9] is None]
+    assert [payload for _, payload in got] == [*bodies, b"five\n\n"] and all(fields["warc-target-uri"] == "http://x/" for fields, _ in got)
+
+
 def test_warc_files(tmp_path):
     bodies = [b"a", b"", os.urandom(2_500_000), b"x" * 3_000_000, b"WARC/1.0\r\nContent-Length: 9\r\n\r\n", b"a"]
     raw = b"".join(map(record, bodies))
