@@ -22,10 +22,6 @@ def spark():
     return session
 
 
-def page(*targets, text="body"):
-    return f"<html><h1>t</h1><p>{text}</p>" + "".join(f'<a href="{t}">to {t}</a>' for t in targets) + "</html>"
-
-
 @pytest.fixture
 def site(spark):
     """A web of pages (url -> html, or (status, html)); what isn't there answers 404."""

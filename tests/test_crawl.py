@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from conftest import page
+from html_pages import page
 from webloom import Crawler, Settings, Web
 from webloom.operators.cache import ParquetStore
 from webloom.providers.base import FunctionProvider
