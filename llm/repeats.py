@@ -19,15 +19,20 @@ All of them are found, each with all its occurrences:
    whose left words differ is a maximal repeat. It is reported once: at the first anchor that
    its own words make one, or at the one that took over from that.
 
-One row is one outermost interval: n_words that all its occurrences share, doc_ids and
-starts (word positions) in suffix order, and in ``groups`` each maximal repeat in it as its
-length and its slice [first, last] of these lists; so nested groups don't repeat the lists.
+Texts that are alike are sorted as two copies, which have the repeats of any number of them,
+and the others are joined to the result; so a text with any number of copies is no larger.
 
-Words are compared by 32-bit hashes, k-grams by 64-bit hashes.
+One row is one occurrence of an outermost interval: ``repeat`` names the interval, n_words is
+what all its occurrences share, doc_id and start (a word position) tell where, and rank is the
+place in suffix order (that of the copy that was sorted, for the others). ``groups`` lists the
+maximal repeats in the interval that begin at this rank, as their n_words and last rank: so each
+is listed once, and its occurrences are the rows of the interval from its first to its last rank.
+
+Words are compared by 32-bit hashes, k-grams by 64-bit hashes, whole texts by 128 bits.
 
 Defined results for odd input: null and empty texts and texts of fewer than ``min_words``
 words have no repeats; repeats within one text count, and rows that are alike, or share a
-doc_id, are occurrences each; a null doc_id is null in the lists; texts of any length and
+doc_id, are occurrences each; a null doc_id is null in the result; texts of any length and
 any period are compared whole; an empty table gives an empty result; other columns are not
 read.
 """
@@ -41,7 +46,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -248,11 +254,15 @@ def repeats_at(texts: list[np.ndarray], text: np.ndarray, at: np.ndarray, low: n
         todo += [(np.sort(own[part]), depth + 1) for part in np.split(by_word, cuts) if len(part) > 1 and depth + 1 < width]
 
 
-def pieces(docs: DataFrame, p: Params) -> DataFrame:
-    """The words around the anchors that may report a repeat, with these anchors; a ``target`` for all pieces of one anchor."""
-    spark = docs.sparkSession
-    docs, row = common.with_row_id(docs.select("doc_id", "text"))
-    parts = common.partitions(spark)
+def copies(rows: DataFrame, row: str) -> DataFrame:
+    """other, doc_id, head: the rows whose text is that of the row ``head``, but for each text's first and last row."""
+    hashed = rows.where("text IS NOT NULL").select(row, "doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    ends = hashed.groupBy("h", "g").agg(F.min(row).alias("head"), F.max(row).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 2").drop("n")
+    return hashed.join(ends, ["h", "g"]).where((F.col(row) != F.col("head")) & (F.col(row) != F.col("last"))).select(F.col(row).alias("other"), "doc_id", "head")
+
+
+def pieces(docs: DataFrame, row: str, others: DataFrame, p: Params) -> DataFrame:
+    """The words around the anchors that may report a repeat, with these anchors' places; ``target`` is the anchor."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,14 +281,16 @@ def pieces(docs: DataFrame, p: Params) -> DataFrame:
                 )
 
     found = docs.select(row, "text").mapInArrow(scan, "anchor long, context long, row long, at int")
-    same = Window.partitionBy("anchor")
+    # counts first, each task's own added up before the shuffle; the occurrences are joined to the anchors that come again
+    counts = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("least"), F.max("context").alias("most"))
+    counts = counts.where("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("diverse"))
     again = (
-        found.withColumn("n", F.count(F.lit(1)).over(same))
-        .withColumn("diverse", F.min("context").over(same) != F.max("context").over(same))
-        .where("n > 1")
+        found.select("anchor", "row", "at")
+        .join(counts.hint("shuffle_hash"), "anchor")
         .groupBy(F.col("row").alias(row))
         .agg(F.sort_array(F.collect_list(F.struct("at", "diverse"))).alias("anchors"))
         .where(F.exists("anchors", lambda a: a["diverse"]))
+        .join(others.select(F.col("other").alias(row)).hint("shuffle_hash"), row, "left_anti")
     )
     joined = docs.join(again.hint("shuffle_hash"), row)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -313,7 +325,7 @@ def pieces(docs: DataFrame, p: Params) -> DataFrame:
                             if since >= a:
                                 end = min(end, since + p.window - 1 + p.gram)
                                 break
-                        t, b = int(h[k] % np.uint64(parts * 16)), max(0, a - p.window)
+                        t, b = int(h[k].view(np.int64)), max(0, a - p.window)
                         x, y = np.searchsorted(at, [a - p.window, a + p.window + 1])
                         own_near = packed(at[x:y] - a, before[x:y], after[x:y], diverse[x:y], p)
                         r = open_rows.get(t)
@@ -324,73 +336,105 @@ def pieces(docs: DataFrame, p: Params) -> DataFrame:
                             low.append([b, end])
                             marks.append([])
                         low[r][1] = max(low[r][1], end)
-                        marks[r].append((int(h[k].view(np.int64)), a, end, own_near))
+                        marks[r].append((a, end, own_near))
                     for r in range(len(data), len(which)):
                         data.append(text[low[r][0] : low[r][1]].tobytes())
                 if which:
-                    fields = [pa.array([[m[f] for m in x] for x in marks], pa.list_(pa.int64() if f < 3 else pa.binary())) for f in range(4)]
+                    fields = [pa.array([[m[f] for m in x] for x in marks], pa.list_(pa.int64() if f < 2 else pa.binary())) for f in range(3)]
+                    own = pa.array(which)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(target, pa.int32()), batch.column(0).take(pa.array(which)), pa.array([x[0] for x in low], pa.int64()), pa.array(data, pa.binary()), *fields],
-                        names=["target", "doc_id", "low", "words", "anchor", "at", "until", "around"],
+                        [pa.array(target, pa.int64()), batch.column(0).take(own), batch.column(3).take(own), pa.array([x[0] for x in low], pa.int64()), pa.array(data, pa.binary()), *fields],
+                        names=["target", "doc_id", "row", "low", "words", "at", "until", "around"],
                     )
 
-    lists = "anchor array<long>, at array<long>, until array<long>, around array<binary>"
-    return joined.select("doc_id", "text", "anchors").mapInArrow(cut, f"target int, doc_id {kind}, low long, words binary, {lists}")
+    lists = "at array<long>, until array<long>, around array<binary>"
+    return joined.select("doc_id", "text", "anchors", row).mapInArrow(cut, f"target long, doc_id {kind}, row long, low long, words binary, {lists}")
+
+
+_GROUP = pa.struct([("n_words", pa.int64()), ("last", pa.int64())])
+_COLUMNS = ["repeat", "rank", "n_words", "doc_id", "start", "groups", "row"]
 
 
 def tree(p: Params):
-    """From all pieces of a partition the rows of ``find_repeats``."""
+    """From the pieces of a partition, anchor after anchor, the rows of ``find_repeats``; one anchor's pieces are held at a time."""
+
+    def of_anchor(batches: list[pa.RecordBatch]) -> Iterator[tuple]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        sizes = pc.list_value_length(table["at"]).to_numpy()
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        at, until = (table[c].combine_chunks().flatten().to_numpy() for c in ("at", "until"))
+        if len(at) < 2:
+            return
+        # in an order that doesn't depend on the shuffle's
+        order = np.lexsort((at, table["low"].to_numpy()[text], table["row"].to_numpy()[text]))
+        text, at, until = text[order], at[order], until[order]
+        around = [x.as_py() for x in table["around"].combine_chunks().flatten().take(pa.array(order))]
+        texts = [np.frombuffer(w.as_buffer(), ">u4") for w in table["words"]]
+        base = table["low"].to_numpy()[text]
+        for own, depth, groups in repeats_at(texts, text, at - base, np.zeros(len(text), np.int64), until - base, around, p):
+            which = pa.array(text[own])
+            yield table["doc_id"].combine_chunks().take(which), table["row"].to_numpy()[text[own]], at[own] - depth, groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, lows, ids, rows, around = [], [], [], [], []
-        id_type = pa.int64()
-        for batch in batches:
-            id_type = batch.column(1).type
-            anchor, at, until = (c.flatten().to_numpy() for c in batch.columns[4:7])
-            sizes = pc.list_value_length(batch.column(4)).to_numpy()
-            rows.append(np.stack([anchor, np.repeat(np.arange(len(sizes)) + len(texts), sizes), at, until, np.arange(len(anchor)) + len(around)], 1))
-            around += batch.column(7).flatten().to_pylist()
-            texts += [np.frombuffer(w, ">u4") for w in batch.column(3).to_pylist()]
-            lows += batch.column(2).to_pylist()
-            ids += batch.column(1).to_pylist()
-        if not texts:
-            return
-        table = np.concatenate(rows)
-        table = table[np.lexsort((table[:, 2], table[:, 1], table[:, 0]))]
-        low = np.array(lows)
-        bounds = [*np.flatnonzero(np.diff(table[:, 0], prepend=table[0, 0] - 1)), len(table)]
+        number = TaskContext.get().partitionId() << 36
         out: list = []
 
         def flush() -> pa.RecordBatch:
-            group = pa.list_(pa.struct([("n_words", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
-            columns = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(id_type)), pa.array([o[2] for o in out], pa.list_(pa.int64())), pa.array([o[3] for o in out], group)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["n_words", "doc_ids", "starts", "groups"])
+            n = [len(o[1]) for o in out]
+            first = np.concatenate([np.sort(np.array([a for _, a, _ in o[3]], np.int64)) + k for o, k in zip(out, np.cumsum(n) - n)])
+            listed = [g for o in out for g in sorted(o[3], key=lambda g: (g[1], g[0]))]
+            offsets = np.searchsorted(first, np.arange(sum(n) + 1)).astype(np.int32)
+            groups = pa.ListArray.from_arrays(pa.array(offsets), pa.array([{"n_words": k, "last": b} for k, _, b in listed], _GROUP))
+            columns = [
+                np.repeat([number + i for i in range(len(out))], n), np.concatenate([np.arange(k) for k in n]), np.repeat([o[3][0][0] for o in out], n),
+                pa.concat_arrays([o[0] for o in out]), np.concatenate([o[2] for o in out]), groups, np.concatenate([o[1] for o in out]),
+            ]
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=_COLUMNS)
 
         held = 0
-        for lo, hi in zip(bounds, bounds[1:]):
-            if hi - lo < 2:
-                continue
-            text, at, until = table[lo:hi, 1], table[lo:hi, 2], table[lo:hi, 3]
-            near = [around[i] for i in table[lo:hi, 4].tolist()]
-            base = low[text]
-            for own, depth, groups in repeats_at(texts, text, at - base, np.zeros(len(text), np.int64), until - base, near, p):
-                out.append((groups[0][0], [ids[t] for t in text[own].tolist()], (at[own] - depth).tolist(), [{"n_words": n, "first": a, "last": b} for n, a, b in groups]))
-                held += len(own) + len(groups)
+        for part in by_key(batches):
+            for found in of_anchor(part):
+                out.append(found)
+                held += len(found[1]) + len(found[3])
                 if held > 50_000:
-                    held = 0
                     yield flush()
+                    number, held = number + len(out), 0
+                    out.clear()
         if out:
             yield flush()
 
     return run
 
 
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The slices of each run of equal values in the first column, which is sorted."""
+    part: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if part and key[lo] != last:
+                yield part
+                part = []
+            part.append(batch.slice(lo, hi - lo))
+            last = key[lo]
+    if part:
+        yield part
+
+
 def find_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """n_words, doc_ids, starts and groups, as the module's text says."""
+    """repeat, rank, n_words, doc_id, start and groups, as the module's text says."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"n_words long, doc_ids array<{kind}>, starts array<long>, groups array<struct<n_words: long, first: long, last: long>>"
-    return pieces(docs, params).repartition(common.partitions(docs.sparkSession) * 4, "target").mapInArrow(tree(params), schema)
+    schema = f"repeat long, rank long, n_words long, doc_id {kind}, start long, groups array<struct<n_words: long, last: long>>, row long"
+    rows, row = common.with_row_id(docs.select("doc_id", "text"))
+    others = common.saved(copies(rows, row), "copies")
+    cut = pieces(rows, row, others, params).repartition(common.partitions(docs.sparkSession) * 4, "target").sortWithinPartitions("target")
+    found = common.saved(cut.mapInArrow(tree(params), schema), "repeats")
+    again = found.drop("doc_id").join(others, F.col("row") == F.col("head")).withColumn("groups", F.lit(None).cast(found.schema["groups"].dataType))
+    return found.select(_COLUMNS[:-1]).union(again.select(_COLUMNS[:-1]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,14 +25,18 @@ def brute(texts, least):
 
 
 def listed(df, texts):
-    out = {}
+    out, repeats_of = {}, {}
     for r in df.collect():
-        for g in r["groups"]:
-            places = list(zip(r["doc_ids"], r["starts"]))[g["first"] : g["last"] + 1]
-            d, i = places[0]
-            words = tuple(texts[d][i : i + g["n_words"]])
-            assert words not in out and len(set(places)) == len(places)
-            out[words] = set(places)
+        repeats_of.setdefault(r["repeat"], []).append(r)
+    for rows in repeats_of.values():
+        assert {x["rank"] for x in rows} == set(range(max(x["rank"] for x in rows) + 1))
+        for r in rows:
+            for g in r["groups"] or ():
+                places = [(x["doc_id"], x["start"]) for x in rows if r["rank"] <= x["rank"] <= g["last"]]
+                d, i = places[0]
+                words = tuple(texts[d][i : i + g["n_words"]])
+                assert words not in out and len(set(places)) == len(places) and g["n_words"] >= r["n_words"]
+                out[words] = set(places)
     return out
 
 
@@ -44,7 +48,7 @@ def test_equal_to_brute_force(make, seed):
     for t in texts[:5]:
         k = rng.randrange(len(t) + 1)
         t[k:k] = shared[: rng.randrange(8, 16)]
-    texts += [list(texts[0]), list(texts[1])]
+    texts += [list(texts[0]), list(texts[1]), list(texts[0]), list(texts[0]), list(texts[5]), list(texts[5])]
     df = repeats.find_repeats(make([" ".join(t) for t in texts]), Params(min_words=6))
     assert listed(df, texts) == brute(texts, 6)
 
@@ -63,7 +67,7 @@ def test_period_and_blocks_of_words(make, monkeypatch):
     blocks = repeats.suffix_order(column, text, first, end)
     assert [x.tolist() for x in plain] == [x.tolist() for x in blocks]
     rows = repeats.find_repeats(make(["word " * 3000]), Params(50)).collect()
-    assert sum(len(r["groups"]) for r in rows) == 3000 - 50
+    assert sum(len(r["groups"] or ()) for r in rows) == 3000 - 50
 
 
 def test_odd_rows(make, spark):
@@ -71,6 +75,16 @@ def test_odd_rows(make, spark):
     df = make([None, "", "a b c", long, "x " + long, long], [(None, long, None, None, None), (3, long, None, None, None)])
     df = df.selectExpr("*", "1 AS anchor", "2 AS row", "3 AS __row")
     rows = repeats.find_repeats(df).collect()
-    assert len(rows) == 1 and rows[0]["n_words"] == 3000
-    assert sorted(zip([-1 if d is None else d for d in rows[0]["doc_ids"]], rows[0]["starts"])) == [(-1, 0), (3, 0), (3, 0), (4, 1), (5, 0)]
+    assert len({r["repeat"] for r in rows}) == 1 and {r["n_words"] for r in rows} == {3000}
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["start"]) for r in rows) == [(-1, 0), (3, 0), (3, 0), (4, 1), (5, 0)]
     assert repeats.find_repeats(df.limit(0)).count() == 0
+
+
+def test_many_copies_are_sorted_as_two(make):
+    text = " ".join(f"w{i}" for i in range(80))
+    near = text.replace("w79", "other")
+    df = make([text] * 40 + [near] * 3)
+    rows = repeats.find_repeats(df).collect()
+    assert max(r["rank"] for r in rows) == 3 and sorted(r["doc_id"] for r in rows) == list(range(43))
+    groups = sorted(g["n_words"] for r in rows for g in r["groups"] or ())
+    assert groups == [79, 80, 80]
