@@ -1,34 +1,37 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
-
-1. Words are hashed to ``BUCKETS`` terms; their document frequencies are counted over all
-   documents. A document's vector is (1 + ln tf) * idf * sqrt(1 + chi2 / ``least_chi2``)
-   over all its terms, scaled to length 1; chi2 is that of a term's presence and the label
-   among the sampled labelled rows (0 for a term of none of them), so a term whose presence
-   depends on the label weighs more and none is left out.
-2. Up to ``examples`` rows of each label make an inverted index. Terms that more than one
-   in ``DENSE`` examples hold are rows of a matrix instead, multiplied with many queries at
-   once. Every example's cosine is summed whole, so the k nearest are exact (ties, to 12
-   digits: first example).
-3. Neighbours vote by 1 / (distance + 0.1) times cosine, against ``prior_mass`` votes for
-   the share of toxic rows; a logistic curve fitted on the sampled rows, each voted on
-   by the others, turns the vote into a probability. The neighbours are given as evidence.
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine, over a block-max inverted index.
+
+1. The vocabulary is every word of the sampled labelled rows; its document frequencies are
+   counted over all documents. A document's vector is (1 + ln tf) * idf * sqrt(1 + chi2 /
+   ``least_chi2``) over all its words, scaled to length 1; chi2 is that of a word's presence
+   and the label among the sampled rows, so that words which tell the labels apart weigh more
+   and none is left out; words beyond the vocabulary have the idf of none and add to the length.
+2. Up to ``examples`` rows of each label make an inverted index. Examples that share their
+   heaviest word lie together in blocks of ``BLOCK``; a term's postings are grouped by block,
+   each group with its greatest value. The sum of these over a query's terms bounds the
+   cosines in a block, so the blocks of the highest bounds are summed first, and of the
+   others only those whose bound reaches the k-th cosine found: the k nearest are exact
+   (ties, to 12 digits: first example).
+3. Neighbours vote by 1 / (distance + 0.1) times cosine, a neighbour's vote also weighed by
+   how rare its label is among the examples, against ``prior_mass`` votes for the share of
+   toxic rows; a logistic curve fitted on the sampled rows, each voted on by the others,
+   turns the vote into a probability. The neighbours are given as evidence.
 
 Only the labelled rows are a bounded sample (``labelled_rows``); every document is a query.
-A document is never its own neighbour.
+A document is never its own neighbour. Words are told apart by 64-bit hashes.
 
-Defined results for odd input: null and empty texts, and texts without a term of the
+Defined results for odd input: null and empty texts, and texts without a word of the
 examples, have no neighbours and the probability of a bare prior; labels that are null,
 or whose document is missing, are not used; of several labels of one doc_id any toxic one
-counts; rows without doc_id are scored as any other; repeated rows give repeated results;
-with no labelled rows, or all of one label, there are no examples, toxic is false and the
-score is the share of toxic rows; an empty table gives an empty result; other columns
-are not read.
+counts; rows of a labelled doc_id that are alike are one example; rows without doc_id are
+scored as any other; repeated rows give repeated results; with no labelled rows, or all of
+one label, there are no examples, toxic is false and the score is the share of toxic rows;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +41,10 @@ from pyspark.sql import functions as F
 from . import common
 from .kernel import Words, slices
 
-BUCKETS = 1 << 18
-DENSE = 10
-QUERIES = 256
+#: Examples of one block.
+BLOCK = 32
+#: Blocks that are summed first.
+FIRST = 4
 
 
 @dataclass(frozen=True)
@@ -56,33 +60,30 @@ class Params:
 
 @dataclass(frozen=True)
 class Index:
-    """Weights of all terms; the terms that labelled rows hold, and their examples."""
-
-    weight: np.ndarray  # bucket -> idf and association with the label
-    term_of: np.ndarray  # bucket -> number of its term, or -1
-    idf: np.ndarray  # term -> its weight
-    row_of: np.ndarray  # term -> its row of common, or -1
-    common: np.ndarray
-    posting_first: np.ndarray  # term -> its first posting
+    """The vocabulary with its weights, and the examples' postings grouped by term and block."""
+
+    word: np.ndarray  # term -> hash, sorted
+    idf: np.ndarray  # term -> weight; one more for all other words
+    group_first: np.ndarray  # term -> its first group
+    group_block: np.ndarray
+    group_most: np.ndarray
+    posting_first: np.ndarray  # group -> its first posting
     posting: np.ndarray  # example
     value: np.ndarray
     doc_id: list
     toxic: np.ndarray
+    share: np.ndarray  # example -> what its vote counts
     prior: float
-    slope: tuple[float, float]
+    curve: tuple[float, float] = (0.0, 0.0)
 
 
-def terms(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, counts) of the words of each row, on its whole text."""
+def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, word hashes, counts) of the different words of each row, on its whole text."""
     words = Words(column)
-    bucket = (words.hash & np.uint64(BUCKETS - 1)).astype(np.int64)
-    key = np.sort(words.row() * BUCKETS + bucket)
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    count = np.diff(first, append=len(key))
-    key = key[first]
-    bounds = np.searchsorted(key, np.arange(words.n + 1) * BUCKETS)
-    for lo, hi in zip(bounds, bounds[1:]):
-        yield key[lo:hi] % BUCKETS, count[lo:hi]
+    order = np.lexsort((words.hash, words.row()))
+    hashed, row = words.hash[order], words.row()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), (hashed[1:] != hashed[:-1]) | (row[1:] != row[:-1])]))
+    return np.searchsorted(row[first], np.arange(words.n + 1)), hashed[first], np.diff(first, append=len(row))
 
 
 def _spans(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,137 +93,171 @@ def _spans(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of], of
 
 
-def vector(index: Index, bucket: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The terms known to the index and their parts of the vector, whose length is that over all terms."""
-    value = (1 + np.log(count)) * index.weight[bucket]
-    value /= max(float(np.sqrt(value @ value)), 1e-12)
-    term = index.term_of[bucket]
-    known = term >= 0
-    return term[known], value[known]
-
-
-def search(index: Index, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each vector the k examples of the greatest positive cosine and these cosines, exactly, best first."""
-    for at in range(0, len(vectors), QUERIES):
-        part = vectors[at : at + QUERIES]
-        queries = np.zeros((len(part), len(index.common)))
-        for query, (term, value) in zip(queries, part):
-            row = index.row_of[term]
-            query[row[row >= 0]] = value[row >= 0]
-        for cosine, (term, value) in zip(queries @ index.common, part):
-            posting, of = _spans(index.posting_first[term], index.posting_first[term + 1])
-            cosine += np.bincount(index.posting[posting], value[of] * index.value[posting], len(cosine))
-            cosine = np.round(cosine, 12)
-            kth = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
-            some = np.flatnonzero((cosine > 0) & (cosine >= kth))
-            best = some[np.argsort(-cosine[some], kind="stable")][:k]
-            yield best, cosine[best]
-
-
-def nearest(index: Index, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    return next(search(index, [(term, value)], k))
-
-
-def votes(index: Index, rows: list[tuple[np.ndarray, np.ndarray]], ids: list, p: Params) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-    """For each row's buckets and counts the share of votes for toxic, before calibration, and the neighbours."""
-    for doc_id, (best, cosine) in zip(ids, search(index, [vector(index, *r) for r in rows], p.neighbours + 1)):
+def lookup(vocabulary: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """The place of each hash in the sorted vocabulary; its size for the hashes that aren't there."""
+    if not len(vocabulary):
+        return np.zeros(len(hashed), np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, hashed), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == hashed, at, len(vocabulary))
+
+
+def vectors(word: np.ndarray, idf: np.ndarray, bounds: np.ndarray, hashed: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row the terms of the vocabulary and their parts of the vector, whose length is that over all words."""
+    term = lookup(word, hashed)
+    value = (1 + np.log(count)) * idf[term]
+    total = np.concatenate([[0.0], np.cumsum(value * value)])
+    for lo, hi in zip(bounds.tolist(), bounds[1:].tolist()):
+        known = term[lo:hi] < len(word)
+        yield term[lo:hi][known], value[lo:hi][known] / max(float(np.sqrt(value[lo:hi] @ value[lo:hi])), 1e-12) if hi > lo else value[lo:hi]
+
+
+def nearest(index: Index, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k examples of the greatest positive cosine and these cosines, exactly, best first; how many blocks were summed."""
+    n_blocks = -(-len(index.doc_id) // BLOCK)
+    cosine = np.zeros(n_blocks * BLOCK)
+    group, of = _spans(index.group_first[term], index.group_first[term + 1])
+    block, weight = index.group_block[group], value[of]
+    bound = np.bincount(block, weight * index.group_most[group], n_blocks)
+
+    def add(which: np.ndarray) -> None:
+        own = which[block]
+        posting, at = _spans(index.posting_first[group[own]], index.posting_first[group[own] + 1])
+        cosine[:] += np.bincount(index.posting[posting], weight[own][at] * index.value[posting], len(cosine))
+
+    wanted = np.zeros(n_blocks, bool)
+    if n_blocks > FIRST:
+        wanted[np.argpartition(-bound, FIRST)[:FIRST]] = True
+    else:
+        wanted[:] = True
+    add(wanted)
+    done = int(wanted.sum())
+    kth = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
+    rest = ~wanted & (bound > 0) & (bound >= kth - 1e-9)
+    if rest.any():
+        add(rest)
+        done += int(rest.sum())
+    cosine = np.round(cosine, 12)
+    kth = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
+    some = np.flatnonzero((cosine > 0) & (cosine >= kth))
+    best = some[np.argsort(-cosine[some], kind="stable")][:k]
+    return best, cosine[best], done
+
+
+def votes(index: Index, rows: Iterator[tuple[np.ndarray, np.ndarray]], ids: list, p: Params) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """For each row's vector the share of votes for toxic, before calibration, and the neighbours."""
+    for doc_id, (term, value) in zip(ids, rows):
+        if not len(term) or not index.doc_id:
+            yield index.prior, np.zeros(0, np.int64), np.zeros(0)
+            continue
+        best, cosine, _ = nearest(index, term, value, p.neighbours + 1)
         other = np.array([doc_id is None or index.doc_id[i] != doc_id for i in best], bool)
         best, cosine = best[other][: p.neighbours], cosine[other][: p.neighbours]
-        weight = cosine / (1.1 - np.minimum(cosine, 1))
+        weight = cosine / (1.1 - np.minimum(cosine, 1)) * index.share[best]
         yield float((weight @ index.toxic[best] + p.prior_mass * index.prior) / (weight.sum() + p.prior_mass)), best, cosine
 
 
-def build_index(rows: list[tuple], seen: np.ndarray, total: int, p: Params) -> Index:
-    """rows: (doc_id, toxic, buckets, counts) of the sampled labelled rows, in a fixed order."""
-    toxic = np.array([r[1] for r in rows], np.int64)
-    n, n_toxic = len(rows), int(toxic.sum())
-    prior = n_toxic / n if n else 0.0
-    with_term = np.zeros((2, BUCKETS))
-    for _, y, bucket, _ in rows:
-        with_term[int(y), bucket] += 1
-    a, b = with_term[1], with_term[0]
-    held = a + b
+def association(rows: list[tuple], word: np.ndarray) -> np.ndarray:
+    """Chi-square of each word's presence and the label; rows of both labels."""
+    held = [np.zeros(len(word)), np.zeros(len(word))]
+    for _, y, hashed, _ in rows:
+        held[int(y)][np.searchsorted(word, hashed)] += 1
+    n, n_toxic = len(rows), sum(int(r[1]) for r in rows)
+    b, a = held
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = n * (a * (n - n_toxic - b) - b * (n_toxic - a)) ** 2 / (held * (n - held) * float(n_toxic) * (n - n_toxic))
-    both = 0 < n_toxic < n
-    vocabulary = np.flatnonzero(held) if both else np.zeros(0, np.int64)
-    term_of = np.full(BUCKETS, -1, np.int32)
-    term_of[vocabulary] = np.arange(len(vocabulary))
-    weight = (np.log((1 + total) / (1 + seen)) + 1) * np.sqrt(1 + np.nan_to_num(chi2, posinf=0.0) / p.least_chi2)
-    index = Index(weight, term_of, weight[vocabulary], np.zeros(0, np.int64), np.zeros((0, 0)), *[np.zeros(0, np.int64)] * 3, [], np.zeros(0), prior, (0.0, 0.0))
+        return np.nan_to_num(n * (a * (n - n_toxic - b) - b * (n_toxic - a)) ** 2 / ((a + b) * (n - a - b) * float(n_toxic) * (n - n_toxic)), posinf=0.0)
+
+
+def build_index(rows: list[tuple], word: np.ndarray, seen: np.ndarray, total: int, p: Params) -> Index:
+    """rows: (doc_id, toxic, word hashes, counts) of the sampled labelled rows, in a fixed order; seen: documents of each word."""
+    toxic = np.array([r[1] for r in rows], np.float64)
+    prior = float(toxic.mean()) if len(rows) else 0.0
+    idf = np.log((1 + total) / (1 + np.append(seen, 0))) + 1
+    none = np.zeros(0, np.int64)
+    index = Index(word, idf, np.zeros(len(word) + 2, np.int64), none, np.zeros(0), np.zeros(1, np.int64), none, np.zeros(0), [], np.zeros(0), np.zeros(0), prior)
+    if not 0 < prior < 1:
+        return index
+    idf[:-1] *= np.sqrt(1 + association(rows, word) / p.least_chi2)
+    bounds = np.cumsum([0, *[len(r[2]) for r in rows]])
+    all_vectors = list(vectors(word, idf, bounds, np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])))
     chosen, taken = [], [0, 0]
-    for row in rows:
-        if both and len(row[2]) and taken[int(row[1])] < p.examples:
-            taken[int(row[1])] += 1
-            chosen.append(row)
-    vectors = [vector(index, r[2], r[3]) for r in chosen]
-    term = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in vectors]]).astype(np.int64)
-    value = np.concatenate([np.zeros(0), *[v for _, v in vectors]])
-    example = np.repeat(np.arange(len(chosen)), [len(t) for t, _ in vectors])
-    often = np.flatnonzero(np.bincount(term, minlength=len(vocabulary)) * DENSE > len(chosen))
-    row_of = np.full(len(vocabulary), -1, np.int32)
-    row_of[often] = np.arange(len(often))
-    common_rows = np.zeros((len(often), len(chosen)))
-    dense = row_of[term] >= 0
-    common_rows[row_of[term[dense]], example[dense]] = value[dense]
-    term, value, example = term[~dense], value[~dense], example[~dense]
-    order = np.lexsort((example, term))
-    index = Index(
-        weight, term_of, weight[vocabulary], row_of, common_rows, np.searchsorted(term[order], np.arange(len(vocabulary) + 1)), example[order].astype(np.int32), value[order],
-        [r[0] for r in chosen], np.array([r[1] for r in chosen], np.float64), prior, (0.0, 0.0),
-    )
+    for i, r in enumerate(rows):
+        if len(r[2]) and taken[int(r[1])] < p.examples:
+            taken[int(r[1])] += 1
+            chosen.append(i)
     if not chosen:
         return index
+    held = np.bincount(np.concatenate([all_vectors[i][0] for i in chosen]), minlength=len(word))
+
+    def place(i: int) -> tuple:
+        term, value = all_vectors[i]
+        often = held[term] > 1
+        return bool(rows[i][1]), int(term[often][value[often].argmax()]) if often.any() else len(word)
+
+    chosen.sort(key=place)  # stable
+    example = np.repeat(np.arange(len(chosen)), [len(all_vectors[i][0]) for i in chosen])
+    term, value = (np.concatenate([all_vectors[i][k] for i in chosen]) for k in (0, 1))
+    order = np.lexsort((example, term))
+    term, value, example = term[order], value[order], example[order]
+    block = example // BLOCK
+    first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+    labels = np.array([rows[i][1] for i in chosen], np.float64)
+    rare = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
+    index = replace(
+        index, group_first=np.searchsorted(term[first], np.arange(len(word) + 2)), group_block=block[first], group_most=np.maximum.reduceat(value, first), posting_first=np.append(first, len(term)),
+        posting=example, value=value, doc_id=[rows[i][0] for i in chosen], toxic=labels, share=rare,
+    )
     # logistic calibration by Newton's steps with a small ridge; no row has itself among its neighbours
-    x = np.array([share for share, _, _ in votes(index, [r[2:] for r in rows], [r[0] for r in rows], p)])
-    x, y = np.stack([np.ones(len(x)), x], 1), toxic.astype(np.float64)
+    x = np.array([share for share, _, _ in votes(index, iter(all_vectors), [r[0] for r in rows], p)])
+    return replace(index, curve=calibration(x, toxic))
+
+
+def calibration(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of the logistic curve of labels y over vote shares x."""
+    x = np.stack([np.ones(len(x)), x], 1)
     w = np.zeros(2)
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= np.linalg.solve((x.T * (q * (1 - q))) @ x + 1e-2 * np.eye(2), x.T @ (q - y) + 1e-2 * w)
-    return Index(*[getattr(index, f) for f in list(Index.__dataclass_fields__)[:-1]], (float(w[0]), float(w[1])))
+    return float(w[0]), float(w[1])
 
 
 def probability(index: Index, share: float) -> float:
     if not index.doc_id:
         return index.prior
-    return float(1 / (1 + np.exp(-(index.slope[0] + index.slope[1] * share))))
+    return float(1 / (1 + np.exp(-(index.curve[0] + index.curve[1] * share))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Index:
-    """The index from a bounded sample of labelled rows and counts over all documents, in one pass over the texts."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    bound = common.sample_bound(known, "doc_id", params.labelled_rows, params.seed)
-    if bound is not None:
-        known = known.where(F.xxhash64("doc_id", F.lit(params.seed)) < F.lit(bound))
-    sampled = {r[0]: int(bool(r[1])) for r in known.groupBy("doc_id").agg(F.max("toxic")).collect()}  # labelled_rows at most
-    shared = docs.sparkSession.sparkContext.broadcast(sampled)
+    """The index from a bounded sample of labelled rows and its words' counts over all documents."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = common.sampled(known, ["doc_id", "toxic"], params.labelled_rows, params.seed).drop("__hash")  # labelled_rows at most
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known), "doc_id")
+    rows = common.sampled(rows, ["doc_id", "text", "toxic"], params.labelled_rows, params.seed)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros(BUCKETS, np.int64), 0
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total += batch.num_rows
-            ids = batch.column(0).to_pylist()
-            for first, part in slices(batch.column(1)):
-                for i, (bucket, count) in enumerate(terms(part), first):
-                    seen[bucket] += 1
-                    if ids[i] in shared.value and len(bucket):
-                        yield common.counts_batch([-1 - i % 97], [str(ids[i])], [bucket.astype(np.int32).tobytes()], [count.astype(np.int32).tobytes()])
-        yield from common.count_rows(np.append(seen, total))
-
-    rows = common.summed(docs.select("doc_id", "text").mapInArrow(partial, common.COUNTS_SCHEMA)).collect()
-    counts = common.gathered(rows, BUCKETS + 1)
-    name = {str(k): k for k in sampled}
-    found = [(name[r["label"]], sampled[name[r["label"]]], np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.int32)) for r in rows if r["chunk"] < 0]
-    found.sort(key=lambda r: (hash_order(r[0], params.seed), r[2].tobytes(), r[3].tobytes()))
-    return build_index(found, counts[:-1], int(counts[-1]), params)
+            for first, part in slices(batch.column(3)):
+                bounds, hashed, count = terms(part)
+                own = [(hashed[a:b].tobytes(), count[a:b].astype(np.int32).tobytes()) for a, b in zip(bounds, bounds[1:])]
+                columns = [batch.column(k).slice(first, len(part)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array([o[k] for o in own], pa.binary()) for k in (0, 1)]], names=["hash", "doc_id", "toxic", "words", "counts"])
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", "toxic")}
+    found = rows.select("__hash", "doc_id", "toxic", "text").mapInArrow(sample, f"hash long, doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, words binary, counts binary").collect()
+    found = [(r["doc_id"], int(bool(r["toxic"])), np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in sorted(found, key=lambda r: r["hash"])]
+    word = np.unique(np.concatenate([np.zeros(0, np.uint64), *[r[2] for r in found]]))
+    shared = docs.sparkSession.sparkContext.broadcast(word)  # words of labelled_rows rows
 
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(shared.value) + 2, np.int64)  # of each word, of the others, of rows
+        for batch in batches:
+            seen[-1] += batch.num_rows
+            for _, part in slices(batch.column(0)):
+                seen[:-1] += np.bincount(lookup(shared.value, terms(part)[1]), minlength=len(seen) - 1)
+        yield from common.count_rows(seen)
 
-def hash_order(key, seed: int) -> int:
-    """A fixed pseudorandom order of keys."""
-    x = (int(key) if isinstance(key, int) else sum(map(ord, str(key)))) * 0x9E3779B97F4A7C15 + seed
-    x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-    return x ^ (x >> 29)
+    counts = common.gathered(common.summed(docs.select("text").mapInArrow(partial, common.COUNTS_SCHEMA)).collect(), len(word) + 2)
+    return build_index(found, word, counts[:-2], int(counts[-1]), params)
 
 
 def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), index: Index | None = None) -> DataFrame:
@@ -234,14 +269,18 @@ def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), index:
         index = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            scores, evidence = [], []
+            scores, near, cosines, sizes = [], [], [], []
             for first, part in slices(batch.column(1)):
-                for share, best, cosine in votes(index, list(terms(part)), ids[first : first + len(part)], params):
+                for share, best, cosine in votes(index, vectors(index.word, index.idf, *terms(part)), ids[first : first + len(part)], params):
                     scores.append(probability(index, share))
-                    evidence.append([{"doc_id": index.doc_id[j], "cosine": c, "toxic": bool(index.toxic[j])} for j, c in zip(best.tolist(), cosine.tolist())])
+                    near.append(best)
+                    cosines.append(cosine)
+                    sizes.append(len(best))
             scored = np.array(scores)
-            near = pa.list_(pa.struct([("doc_id", batch.column(0).type), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scored, pa.float64()), pa.array((scored >= params.threshold) & bool(index.doc_id), pa.bool_()), pa.array(evidence, near)], names=["doc_id", "score", "toxic", "evidence"])
+            near = np.concatenate([np.zeros(0, np.int64), *near]).astype(np.int64)
+            fields = [pa.array([index.doc_id[i] for i in near.tolist()], batch.column(0).type), pa.array(np.concatenate([np.zeros(0), *cosines])), pa.array(index.toxic[near].astype(bool) if len(near) else [], pa.bool_())]
+            evidence = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.StructArray.from_arrays(fields, names=["doc_id", "cosine", "toxic"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scored, pa.float64()), pa.array((scored >= params.threshold) & bool(index.doc_id), pa.bool_()), evidence], names=["doc_id", "score", "toxic", "evidence"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, toxic boolean, evidence array<struct<doc_id: {kind}, cosine: double, toxic: boolean>>")
 
