@@ -9,8 +9,11 @@ Defined results for odd input: a null or empty text, or one without any n-gram o
 vocabulary, has language null, confidence 0 and is rejected; a null label is never
 trained on but its row is scored; with fewer than two labels among the sampled rows
 nothing can be told apart, so each text with letters gets the one label there is
-(null without any) at confidence 1 (0); repeated rows give repeated results; an empty
-table gives an empty result; columns other than doc_id, text and lang are not read.
+(null without any) at confidence 1 (0); labelled rows that agree in doc_id, text and lang
+are one in the sample, and null or repeated ids change nothing else; languages that tie
+go by their name; repeated rows give repeated results; texts of any length are read
+whole; an empty table gives an empty result; columns other than doc_id, text and lang
+are not read.
 """
 
 from __future__ import annotations
@@ -51,31 +54,32 @@ class Model:
     temperature: float
 
 
-def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, counts) of the character n-grams of each row, on its whole text."""
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, buckets, counts) of the character n-grams of all rows, on their whole texts; row i's are at bounds[i] .. bounds[i + 1]."""
     points, bounds = code_points(column)
     x = points.astype(np.uint32)
     letter = (x > 127) | ((x >= 97) & (x <= 122))
     x = np.where(letter, x, np.uint32(32))  # all that isn't a letter is one kind of gap
-    hashed = []
+    wide = np.uint32 if len(column) < BUCKETS else np.uint64
+    row = np.repeat(np.arange(len(column), dtype=wide), np.diff(bounds))
+    told = np.diff(np.concatenate([[0], np.cumsum(letter)])[bounds]) > 0
+    keys = []
     for n in GRAMS:
         h = np.zeros(max(0, len(x) - n + 1), np.uint32)
         for k in range(n):
             h = (h ^ x[k : len(x) - n + 1 + k]) * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
         h = (h ^ np.uint32(n)) * np.uint32(0x85EBCA6B)
-        hashed.append((h >> np.uint32(16)).astype(np.int64))
-    for i in range(len(bounds) - 1):
-        lo, hi = int(bounds[i]), int(bounds[i + 1])
-        if not letter[lo:hi].any():
-            yield np.zeros(0, np.int64), np.zeros(0, np.int64)
-            continue
-        count = np.zeros(BUCKETS, np.int64)
-        for n, h in zip(GRAMS, hashed):
-            if hi - lo >= n:
-                count += np.bincount(h[lo : hi - n + 1], minlength=BUCKETS)
-        at = np.flatnonzero(count)
-        yield at, count[at]
+        own = row[: len(h)]
+        whole = own == row[n - 1 :] if len(h) else np.zeros(0, bool)
+        if not told.all():
+            whole &= told[own]
+        keys.append((own[whole] << wide(16)) | (h[whole] >> np.uint32(16)))
+    key = np.sort(np.concatenate(keys))
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    count = np.diff(first, append=len(key))
+    key = key[first]
+    return np.searchsorted(key, np.arange(len(column) + 1, dtype=np.uint64) << np.uint64(16)), (key & wide(BUCKETS - 1)).astype(np.int64), count
 
 
 def _vector(idf: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -130,50 +134,57 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, p: Pa
 
 def score(model: Model, column: pa.Array) -> tuple[list, np.ndarray]:
     """The language and calibrated confidence of each row."""
-    langs: list = []
+    langs: list = [None] * len(column)
     confidence = np.zeros(len(column))
+    if not model.classes:
+        return langs, confidence
     for first, part in slices(column):
-        for i, (at, count) in enumerate(features(part)):
-            if not len(at) or not model.classes:
-                langs.append(None)
-                continue
-            p = _softmax(_vector(model.idf, at, count) @ model.weights[at] / model.temperature)
-            best = int(p.argmax())
-            langs.append(model.classes[best])
-            confidence[first + i] = p[best]
+        bounds, at, count = features(part)
+        rows = np.flatnonzero(np.diff(bounds))
+        if not len(rows):
+            continue
+        start = bounds[rows]
+        value = (1 + np.log(count)) * model.idf[at]
+        length = np.sqrt(np.add.reduceat(value * value, start))
+        logits = np.stack([np.add.reduceat(value * w[at], start) for w in model.weights.T], 1) / np.maximum(length, 1e-12)[:, None]
+        p = _softmax(logits / model.temperature)
+        best = p.argmax(1)
+        confidence[first + rows] = p[np.arange(len(rows)), best]
+        for i, k in zip((first + rows).tolist(), best.tolist()):
+            langs[i] = model.classes[k]
     return langs, confidence
 
 
 def fit(docs: DataFrame, params: Params = Params()) -> Model:
     """Document frequencies over all rows and a model from a bounded sample of those with a label.
 
-    One pass over the texts gives both. What comes back to the driver is the n-gram
-    counts (as many as there are buckets) and the sampled rows' features.
+    What comes back to the driver is the n-gram counts (as many as there are buckets) and
+    the features of ``train_rows`` rows at most.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    bound = common.sample_bound(labelled, "doc_id", params.train_rows, params.seed)
-    chosen = F.col("lang").isNotNull() & F.col("text").isNotNull()
-    if bound is not None:
-        chosen &= F.xxhash64("doc_id", F.lit(params.seed)) < F.lit(bound)
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    chosen = common.sampled(labelled, ["doc_id", "text", "lang"], params.train_rows, params.seed)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in slices(batch.column(2)):
+                bounds, at, count = features(part)
+                own = [(at[a:b].astype(np.uint16).tobytes(), count[a:b].astype(np.int32).tobytes()) for a, b in zip(bounds, bounds[1:])]
+                columns = [batch.column(k).slice(first, len(part)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array([o[k] for o in own], pa.binary()) for k in (0, 1)]], names=["hash", "lang", "at", "count"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             total += batch.num_rows
-            lang, wanted = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for first, part in slices(batch.column(0)):
-                for i, (at, count) in enumerate(features(part), first):
-                    seen[at] += 1
-                    if wanted[i] and len(at):
-                        yield common.counts_batch([-1 - i % 97], [lang[i]], [at.astype(np.uint16).tobytes()], [count.astype(np.int32).tobytes()])
+            for _, part in slices(batch.column(0)):
+                seen += np.bincount(features(part)[1], minlength=BUCKETS)
         yield from common.count_rows(np.append(seen, total))
 
-    rows = common.summed(docs.select("text", "lang", chosen.alias("chosen")).mapInArrow(partial, common.COUNTS_SCHEMA)).collect()
-    counts = common.gathered(rows, BUCKETS + 1)
+    counts = common.gathered(common.summed(docs.select("text").mapInArrow(partial, common.COUNTS_SCHEMA)).collect(), BUCKETS + 1)
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
-    sample = [(r["label"], np.frombuffer(r["index"], np.uint16).astype(np.int64), np.frombuffer(r["value"], np.int32).astype(np.int64)) for r in rows if r["chunk"] < 0]
-    sample.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))  # the same rows in the same order on every run
-    return train(sample[: 2 * params.train_rows], idf, params)
+    found = sorted(chosen.select("__hash", "lang", "text").mapInArrow(sample, "hash long, lang string, at binary, count binary").collect())  # the same order on every run
+    rows = [(r["lang"], np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["count"], np.int32).astype(np.int64)) for r in found]
+    return train([r for r in rows if len(r[1])], idf, params)
 
 
 def identify(docs: DataFrame, params: Params = Params(), model: Model | None = None) -> DataFrame:
