@@ -10,8 +10,8 @@ for all but ``drop``.
 
 Defined results for odd input: a null text, or one without any character, has
 probability null, verdict ``drop``; labels that are null or without a document are not
-used, and the least of several labels of one doc_id counts; rows without doc_id are
-scored as any other; repeated rows give repeated results; with sampled labels all alike
+used, and the least of several labels of one doc_id counts; rows of a labelled doc_id
+that are alike are one in the sample; rows without doc_id are scored as any other; repeated rows give repeated results; with sampled labels all alike
 every text has that label's probability (without any label 1); an empty table gives an
 empty result; other columns are not read.
 """
@@ -124,12 +124,10 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], p: Params) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     """A model from a bounded sample of the labelled rows; the sample's features are what comes to the driver."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    bound = common.sample_bound(known, "doc_id", params.labelled_rows, params.seed)
-    if bound is not None:
-        known = known.where(F.xxhash64("doc_id", F.lit(params.seed)) < F.lit(bound))
-    sampled = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))  # labelled_rows at most
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sampled), "doc_id")
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = common.sampled(known, ["doc_id", "quality"], params.labelled_rows, params.seed).drop("__hash")  # labelled_rows at most
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known), "doc_id")
+    rows = common.sampled(rows, ["doc_id", "text", "quality"], params.labelled_rows, params.seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
