@@ -2,10 +2,12 @@
 
 1. Every word n-gram of a benchmark item is a seed, so every ``seed_words`` words in a row
    that a document leaves as they are hold one. A copy without such a run isn't found.
-2. Where a document has seeds of an item, the item is aligned with the stretch of the
-   document around them (match +2, mismatch -1, gap -1), unless the stretch holds too few
+2. Where a document has seeds of an item, the item is aligned with the stretches of the
+   document around them (match +2, mismatch -1, gap -1), unless a stretch holds too few
    of the item's words for the threshold whatever their order. similarity is the score over
-   that of the whole item; pairs at ``min_similarity`` or more are returned.
+   that of the whole item; pairs at ``min_similarity`` or more are returned. A stretch reaches
+   as far to either side of a seed as any alignment at the threshold that holds the seed: an
+   item's length and as many words as the threshold lets be wrong (twice the length at 0.5).
 
 The seed index goes to the executors in parts of at most ``part_chars`` characters of
 benchmark text; a larger benchmark takes one pass over the documents for each part.
@@ -13,8 +15,9 @@ benchmark text; a larger benchmark takes one pass over the documents for each pa
 Defined results for odd input: null or empty texts and items match nothing, nor do items
 of fewer than ``seed_words`` words; an empty benchmark or an empty table gives an empty
 result; rows without doc_id are aligned as any other and give rows without it; repeated
-rows give repeated rows; items with the same item_id are aligned each for itself; equal
-scores take the earliest end in the document. Other columns are not read.
+rows give repeated rows; items with the same item_id, or without one, are aligned each for
+itself, and item_id may be of any type; equal scores take the earliest end in the document;
+texts of any length are searched whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,19 +41,18 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 class Params:
     seed_words: int = 4
     min_similarity: float = 0.5
-    part_chars: int = 64_000_000
+    part_chars: int = 8_000_000
 
 
 @dataclass(frozen=True)
 class Index:
     """The items' words, and their seeds sorted by hash."""
 
-    item_id: list
+    item_id: pa.Array
     words: np.ndarray
     first: np.ndarray
     seed: np.ndarray
     item: np.ndarray
-    position: np.ndarray
     quick: np.ndarray
 
 
@@ -69,12 +71,15 @@ def _find(hashes: np.ndarray, quick: np.ndarray, grams: np.ndarray) -> tuple[np.
     return maybe[ok], at[ok]
 
 
-def build_index(items: list[tuple], p: Params) -> Index:
-    words = Words(pa.array([t for _, t in items], pa.string()))
+def build_index(items: pa.Table, p: Params) -> Index:
+    """items: item_id and text."""
+    items = items.combine_chunks()
+    column = items["text"].combine_chunks().cast(pa.string())
+    words = Words(column)
     grams, position = ngrams(words, p.seed_words)
     item = words.row()[position]
     at = np.argsort(grams, kind="stable")
-    return Index([i for i, _ in items], words.hash, words.first, grams[at], item[at], position[at] - words.first[item[at]], _quick(grams))
+    return Index(items["item_id"].combine_chunks(), words.hash, words.first, grams[at], item[at].astype(np.int32), _quick(grams))
 
 
 def _last_row_best(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -108,31 +113,30 @@ def matches(index: Index, words: Words, p: Params) -> Iterator[tuple[int, int, f
     hit, at = _find(index.seed, index.quick, grams)
     if not len(hit):
         return
-    row = words.row()
-    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for place, k, gram in zip(position[hit].tolist(), at.tolist(), grams[hit]):
-        while k < len(index.seed) and index.seed[k] == gram:
-            found.setdefault((int(row[place]), int(index.item[k])), []).append((place, int(index.position[k])))
-            k += 1
-    for (r, i), seeds in sorted(found.items()):
+    n = np.searchsorted(index.seed, grams[hit], side="right") - at
+    of = np.repeat(np.arange(len(hit)), n)
+    item_of = index.item[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + at[of]].astype(np.int64)
+    place = position[hit][of]
+    row_of = np.searchsorted(words.first, place, side="right") - 1
+    order = np.lexsort((place, item_of, row_of))
+    row_of, item_of, place = row_of[order], item_of[order], place[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (row_of[1:] != row_of[:-1]) | (item_of[1:] != item_of[:-1]), [True]])).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        r, i = int(row_of[a]), int(item_of[a])
         item = index.words[index.first[i] : index.first[i + 1]]
         lo, hi = int(words.first[r]), int(words.first[r + 1])
-        reach = len(item) + len(item) // 2 + 8
+        least = p.min_similarity * MATCH * len(item)
+        reach = len(item) + int((MATCH * len(item) - least) / -GAP) + 1
         best = (0, 0, 0)
-        stretches: list[list[int]] = []
-        for place, _ in sorted(seeds):
-            a, b = max(lo, place - reach), min(hi, place + reach)
-            if stretches and a <= stretches[-1][1]:
-                stretches[-1][1] = b
-            else:
-                stretches.append([a, b])
-        for a, b in stretches:
+        apart = np.flatnonzero(np.diff(place[a:b]) > 2 * reach) + 1
+        for seeds in np.split(place[a:b], apart):
+            first, end = max(lo, int(seeds[0]) - reach), min(hi, int(seeds[-1]) + reach)
             # each match takes a word of the stretch that the item has, so this bounds the score
-            if MATCH * np.count_nonzero(np.isin(words.hash[a:b], item)) < p.min_similarity * MATCH * len(item):
+            if MATCH * np.count_nonzero(np.isin(words.hash[first:end], item)) < least:
                 continue
-            score, first, end = align(item, words.hash[a:b])
+            score, start, stop = align(item, words.hash[first:end])
             if score > best[0]:
-                best = (score, a + first - lo, a + end - lo)
+                best = (score, first + start - lo, first + stop - lo)
         similarity = best[0] / (MATCH * len(item))
         if similarity >= p.min_similarity:
             yield r, i, similarity, best[1], best[2]
@@ -145,7 +149,7 @@ def _parts(benchmark: DataFrame, p: Params) -> list[DataFrame]:
 
 
 def _index(part: DataFrame, p: Params) -> Index:
-    return build_index(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), p)
+    return build_index(part.toArrow(), p)  # part_chars of text at most, or one item
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
@@ -163,11 +167,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
                     if found:
                         row, item, similarity, start, end = zip(*found)
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array([first + r for r in row])), pa.array([shared.value.item_id[i] for i in item], batch_item), pa.array(similarity, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
+                            [batch.column(0).take(pa.array([first + r for r in row])), shared.value.item_id.take(pa.array(item)), pa.array(similarity, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
                             names=["doc_id", "item_id", "similarity", "first_word", "end_word"],
                         )
 
-        batch_item = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
     found = [search(part) for part in _parts(benchmark, params)]
