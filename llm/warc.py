@@ -4,9 +4,10 @@ A WARC file that was compressed as one gzip stream can't be read from the middle
 ``normalise`` inflates such a file once, in a stream of constant memory, writes each record
 as a gzip member of its own to a new file, and writes a sidecar index of the members'
 offsets (``<file>.index.tsv``); the index rows are also returned. ``read_records`` fetches
-records by (file, offset, length) alone.
+records by (file, offset, length) alone, as bytes.
 
-Files go to the shared folder under a temporary name and are renamed when complete, and
+A copy is named by a hash of the whole path and the file's name, so files of one name in
+several folders don't meet. Files go to the shared folder under a temporary name and are renamed when complete, and
 the bytes depend on the input only, so a task that runs again puts the same file there.
 
 Defined results for odd input: a file of several gzip members, one per record or not, is
@@ -14,8 +15,10 @@ read as their concatenation; an empty file has no records; records without a tar
 have a null one; blank lines between records are skipped; where the stream ends or breaks
 inside a record, the records before it are kept and one index row with null offset and
 length and ``problem`` set tells so; a malformed header gives such a row too, and reading
-goes on at the next line that begins with ``WARC/``; header lines may end in LF alone; records that are alike are all kept. In the table
-writer a null html makes a record of type ``metadata``, an empty one an empty record; line
+goes on at the next line that begins with ``WARC/``; header lines may end in LF alone;
+records that are alike are all kept; null paths are skipped. ``read_pages`` gives a null
+page_id for a record id that the table writer didn't make, and replacement characters for
+bytes that aren't UTF-8. In the table writer a null html makes a record of type ``metadata``, an empty one an empty record; line
 ends in a URL are percent-encoded; null ids and URLs are left out of the header; an empty
 table gives no files and an empty result; columns besides page_id, url and html are not read.
 """
@@ -68,12 +71,12 @@ class _Output:
 
 
 class _Inflated:
-    """The bytes of a gzip file's members one after another, with line and block reads."""
+    """The bytes of a gzip file's members one after another, with line and block reads from a place in a buffer."""
 
     def __init__(self, path: str) -> None:
         system, name = filesystem(path)
         self.source = system.open_input_stream(name, compression=None)
-        self.engine, self.buffer, self.broken = zlib.decompressobj(31), b"", False
+        self.engine, self.buffer, self.at, self.broken = zlib.decompressobj(31), b"", 0, False
         self.fresh = True
 
     def _more(self) -> bool:
@@ -86,7 +89,7 @@ class _Inflated:
             return False
         try:
             self.fresh = False
-            self.buffer += self.engine.decompress(data, READ)
+            self.buffer, self.at = self.buffer[self.at :] + self.engine.decompress(data, READ), 0
         except zlib.error:
             self.broken = True
             return False
@@ -94,27 +97,35 @@ class _Inflated:
             self.fresh = True
         return True
 
+    def rest(self) -> bytes:
+        return self.buffer[self.at :]
+
     def line(self) -> bytes | None:
-        while (end := self.buffer.find(b"\n")) < 0:
+        searched = self.at
+        while (end := self.buffer.find(b"\n", searched)) < 0:
+            held = len(self.buffer) - self.at
             if self.broken or not self._more():
                 return None
-        out, self.buffer = self.buffer[: end + 1], self.buffer[end + 1 :]
+            searched = held
+        out, self.at = self.buffer[self.at : end + 1], end + 1
         return out
 
-    def seek_record(self) -> bool:
-        """Drops what comes before the next line that begins with WARC/."""
-        while (at := self.buffer.find(b"\nWARC/")) < 0:
-            self.buffer = self.buffer[-5:]
+    def seek_record(self, pushed_back: bytes) -> bool:
+        """Goes to the next line that begins with WARC/, in what is pushed back first."""
+        self.buffer, self.at = b"\n" + pushed_back + self.rest(), 0
+        while (at := self.buffer.find(b"\nWARC/", self.at)) < 0:
+            self.at = max(self.at, len(self.buffer) - 5)
             if self.broken or not self._more():
                 return False
-        self.buffer = self.buffer[at + 1 :]
+        self.at = at + 1
         return True
 
     def blocks(self, n: int) -> Iterator[bytes]:
         while n:
-            if not self.buffer and (self.broken or not self._more()):
+            if self.at == len(self.buffer) and (self.broken or not self._more()):
                 return
-            out, self.buffer = self.buffer[:n], self.buffer[n:]
+            out = self.buffer[self.at : self.at + n]
+            self.at += len(out)
             n -= len(out)
             yield out
 
@@ -128,7 +139,7 @@ def normalise_file(path: str, target: str, level: int = 6) -> Iterator[tuple]:
         while (line := source.line()) is not None and not line.strip():
             pass
         if line is None:
-            problem = "truncated" if source.broken or source.buffer.strip() else None
+            problem = "truncated" if source.broken or source.rest().strip() else None
             break
         header, fields = [line], {}
         while (line := source.line()) is not None and line.strip():
@@ -141,8 +152,7 @@ def normalise_file(path: str, target: str, level: int = 6) -> Iterator[tuple]:
             break
         if not header[0].startswith(b"WARC/") or not re.fullmatch("[0-9]+", size):
             yield (target, number, None, None, None, None, None, None, None, "malformed")
-            source.buffer = b"\n" + b"".join(header[1:]) + line + source.buffer
-            if source.seek_record():
+            if source.seek_record(b"".join(header[1:]) + line):
                 continue
             problem = "truncated" if source.broken else None
             break
@@ -176,6 +186,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_INDEX_TYPES)], names=_INDEX_NAMES)
 
 
+def target_name(path: str) -> str:
+    """The name of a file's copy: of one path always the same, of different paths different."""
+    return f"{hashlib.sha256(path.encode()).hexdigest()[:16]}-{path.rpartition('/')[2]}"
+
+
 def normalise(files: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """The index rows of the normalised copies, in ``folder``, of the files that the column ``path`` names."""
 
@@ -183,7 +198,7 @@ def normalise(files: DataFrame, folder: str, level: int = 6) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows: list[tuple] = []
-                for row in normalise_file(path, f"{folder}/{path.rpartition('/')[2]}", level) if path else ():
+                for row in normalise_file(path, f"{folder}/{target_name(path)}", level) if path else ():
                     rows.append(row)
                     if len(rows) == 4096:
                         yield _batch(rows)
@@ -202,26 +217,45 @@ def read_record(handle, offset: int, length: int) -> tuple[dict, bytes]:
     if not engine.eof or engine.unused_data:
         raise ValueError(f"no single gzip member at {offset}, {length}")
     head, rest = re.split(rb"\r?\n\r?\n", data, maxsplit=1)
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in re.split("\r?\n", head.decode())[1:])}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in re.split("\r?\n", head.decode("utf-8", "replace"))[1:])}
     return fields, rest[: int(fields["content-length"])]
 
 
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[dict, bytes]]]]:
+    """Batches of (file, offset, length, ...) with the fields and payloads of their records, a file being opened once in a row."""
+    name, handle = None, None
+    for batch in batches:
+        records = []
+        for file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if file != name:
+                system, path = filesystem(file)
+                name, handle = file, system.open_input_file(path)
+            records.append(read_record(handle, offset, length))
+        yield batch, records
+
+
+def read_records(index: DataFrame) -> DataFrame:
+    """file, record, headers (names in lower case) and payload of the records that index rows name, each fetched by its offset alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, records in _fetched(batches):
+            headers = pa.array([list(fields.items()) for fields, _ in records], pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), headers, pa.array([payload for _, payload in records], pa.binary())], names=["file", "record", "headers", "payload"])
+
+    return index.where("problem IS NULL").select("file", "offset", "length", "record").mapInArrow(run, "file string, record long, headers map<string, string>, payload binary")
+
+
 def read_pages(index: DataFrame) -> DataFrame:
     """page_id, url and html of the records that index rows name, each fetched by its offset alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, handle = None, None
-        for batch in batches:
+        for batch, records in _fetched(batches):
             ids, urls, texts = [], [], []
-            for file, offset, length, kind in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if file != name:
-                    system, path = filesystem(file)
-                    name, handle = file, system.open_input_file(path)
-                fields, payload = read_record(handle, offset, length)
-                number = fields.get("warc-record-id", "").removeprefix("<urn:page:").removesuffix(">")
-                ids.append(int(number) if number else None)
+            for kind, (fields, payload) in zip(batch.column(3).to_pylist(), records):
+                own = re.fullmatch(r"<urn:page:(-?[0-9]{1,18})>", fields.get("warc-record-id", ""))
+                ids.append(int(own[1]) if own else None)
                 urls.append(fields.get("warc-target-uri"))
-                texts.append(None if kind == "metadata" else payload.decode())
+                texts.append(None if kind == "metadata" else payload.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "html"])
 
     return index.where("problem IS NULL").select("file", "offset", "length", "type").mapInArrow(run, "page_id long, url string, html string")
