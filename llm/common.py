@@ -24,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a fresh one for Spark in this process, an error on a cluster."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -63,6 +66,25 @@ def _remove_written() -> None:
             return
 
 
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The slices of each run of equal values in the first column, which is sorted and has no nulls."""
+    part: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if part and key[lo] != last:
+                yield part
+                part = []
+            part.append(batch.slice(lo, hi - lo))
+            last = key[lo]
+    if part:
+        yield part
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,11 +97,18 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def fixed(df: DataFrame, what: str = "rows") -> DataFrame:
+    """``df`` if it is a scan of files with projections and filters at most, else ``df`` saved: rows in the same splits and order at each use."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.getClass().getSimpleName() in ("Project", "Filter"):
+        node = node.children().head()
+    return df if node.getClass().getSimpleName() == "LogicalRelation" else saved(df, what)
+
+
 def with_row_id(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` with a unique id for each row, also for rows that are alike or have no key.
+    """``df``, which must be ``fixed``, with a unique id for each row, also for rows that are alike or have no key.
 
-    The ids follow the scan's splits and order, so they are the same in every use of a
-    table that is read from files.
+    The ids follow the scan's splits and order, so they are the same in every use.
     """
     name = free_name(df, "__row")
     return df.withColumn(name, F.monotonically_increasing_id()), name
@@ -130,8 +159,12 @@ def gathered(rows: list, size: int) -> np.ndarray:
     return out[:size]
 
 
-def sample_bound(df: DataFrame, key: str, rows: int, seed: int) -> int | None:
-    """The hash up to which about ``rows`` rows of ``df`` lie: a sample by key, alike on every run. None: all rows."""
-    hashed = df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"))
-    least = hashed.orderBy("h").limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h")).first()
-    return None if least["n"] <= rows else least["h"]
+def sampled(rows: DataFrame, columns: list[str], n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows, chosen by a hash of ``columns``, alike on every run; the column ``__hash`` orders them.
+
+    Rows that agree in the columns are one row here, so no number of repeats, of nulls
+    or of one key makes the sample larger or leaves other rows out.
+    """
+    hashed = rows.select(*columns, F.xxhash64(*columns, F.lit(seed)).alias("__hash"))
+    least = hashed.select("__hash").distinct().orderBy("__hash").limit(n + 1).agg(F.count(F.lit(1)).alias("n"), F.max("__hash").alias("h")).first()
+    return (hashed if least["n"] <= n else hashed.where(F.col("__hash") < F.lit(least["h"]))).dropDuplicates(["__hash"])
