@@ -52,6 +52,32 @@ def test_groups_are_those_of_all_pairs(make):
     assert sum(len({k for k in want if want[k] == g}) > 2 for g in set(want.values())) >= 1
 
 
+def test_near_copies_are_found_by_exact_jaccard(make):
+    """Pairs of 0.6 or more by exact Jaccard of word 3-grams: nine in ten are grouped; hardly any pair under 0.4 is."""
+    rng = random.Random(21)
+    texts = []
+    for i in range(150):
+        base = prose(rng, rng.randrange(60, 200))
+        copy = edited(rng, base, (0.02, 0.05, 0.08, 0.11, 0.2)[i % 5])
+        texts += [" ".join(base), " ".join(copy + (prose(rng, len(base) // 4) if i % 3 == 0 else []))]
+    grams = [{tuple(t[k : k + 3]) for k in range(len(t) - 2)} for t in map(str.split, texts)]
+    jaccard = [len(a & b) / len(a | b) for a, b in zip(grams[::2], grams[1::2])]
+    rows = {r["doc_id"]: r for r in minhash.groups(make(texts)).collect()}
+    together = [rows[2 * i]["group_id"] == rows[2 * i + 1]["group_id"] for i in range(150)]
+    near = [t for t, j in zip(together, jaccard) if j >= 0.6]
+    far = [t for t, j in zip(together, jaccard) if j < 0.4]
+    assert len(near) >= 40 and np.mean(near) >= 0.9 and len(far) >= 20 and np.mean(far) <= 0.1
+    assert all(r["n_links"] == r["group_size"] - r["n_copies"] for r in rows.values())
+
+
+def test_links_and_copies(make):
+    text, long = " ".join(prose(random.Random(2), 90)), " ".join(["same", "words"] * 40_000)
+    near = text.rsplit(" ", 2)[0] + " other end"
+    rows = {r["doc_id"]: r for r in minhash.groups(make([text] * 30 + [near] * 5 + [long, long, "alone here now", None])).collect()}
+    assert all(rows[i]["n_links"] == 1 and rows[i]["n_copies"] == (30 if i < 30 else 5) and rows[i]["group_size"] == 35 and rows[i]["kept"] == (i == 0) for i in range(35))
+    assert [(rows[i]["n_links"], rows[i]["n_copies"], rows[i]["group_size"]) for i in (35, 36, 37, 38)] == [(0, 2, 2)] * 2 + [(0, 1, 1)] * 2
+
+
 def test_signature_estimates_jaccard():
     rng = random.Random(1)
     a = prose(rng, 400)
@@ -134,6 +160,33 @@ def test_edited_copies_with_an_intact_seed_are_found(make, spark):
     assert found == want and set(range(45)) <= want and len(want) >= 0.9 * every, (len(found), len(want), every)
 
 
+def test_copies_near_the_threshold_have_the_full_similarity(make, spark):
+    """Intact words with single insertions between: as many wrong words as the threshold allows, over twice the item's length."""
+    item = prose(random.Random(3), 40)
+    texts, want = [], []
+    for start in (0, 10, 20, 33):
+        for intact in (5, 6, 7):
+            copy = item[:start] + [w for i, x in enumerate(item[start : start + intact]) for w in [x]]
+            for i, w in enumerate(item[start + intact :]):
+                copy += [f"new{i}", w]
+            copy = [w for i, x in enumerate(item[:start]) for w in (x, f"old{i}")] + copy[start:]
+            texts.append(" ".join(["pad"] * 90 + copy + ["pad"] * 90))
+            want.append(smith_waterman(item, texts[-1].split()) / 80)
+    rows = {r["doc_id"]: r["similarity"] for r in decontam.contaminated(make(texts), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert rows == {i: s for i, s in enumerate(want) if s >= 0.5} and len(rows) >= 10
+
+
+def test_decontamination_odd_rows(make, spark):
+    item = " ".join(prose(random.Random(4), 30))
+    long = "word " * 60_000 + item + " other" * 60_000
+    for kind, ids in (("string", ["", "x", None]), ("smallint", [0, 1, None]), ("struct<a: int>", [(1,), None, (2,)])):
+        benchmark = spark.createDataFrame([(i, item) for i in ids] + [(ids[1], None), (ids[1], ""), (ids[1], "one two")], f"item_id {kind}, text string").selectExpr("*", "1 AS similarity")
+        rows = decontam.contaminated(make([None, "", long, item, item]), benchmark).collect()
+        assert len(rows) == 9 and {(r["doc_id"], r["similarity"]) for r in rows} == {(2, 1.0), (3, 1.0), (4, 1.0)}
+        assert sorted(str(r["item_id"]) for r in rows if r["doc_id"] == 2) == sorted(str(r["item_id"]) for r in benchmark.limit(3).collect())
+        assert {r["first_word"] for r in rows if r["doc_id"] == 2} == {60_000}
+
+
 def test_permutation():
     for n in (1, 2, 3, 10, 64, 65, 1000):
         for key in (0, 5, 1 << 60):
@@ -264,6 +317,22 @@ def test_warc_files(tmp_path):
         assert len((tmp_path / "out" / f"{name}.warc.gz.index.tsv").read_text().splitlines()) == n
 
 
+def test_warc_names_ids_and_bytes(spark, tmp_path):
+    """Files of one name in two folders, record ids of other makers, payloads that aren't UTF-8."""
+    for folder, body in (("a", b"\xff\xfe binary \x00"), ("b", b"plain")):
+        (tmp_path / folder).mkdir()
+        head = record(body).replace(b"WARC-Type: response", b"WARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1234-%s>" % folder.encode())
+        (tmp_path / folder / "x.warc.gz").write_bytes(gzip.compress(head + (record(b"second") if folder == "a" else b"")))
+    paths = spark.createDataFrame([(str(tmp_path / f / "x.warc.gz"),) for f in "ab"] + [(None,)], "path string").selectExpr("*", "1 AS file")
+    index = common.saved(warc.normalise(paths, str(tmp_path / "out")), "index")
+    assert index.count() == 3 and index.select("file").distinct().count() == 2
+    rows = warc.read_records(index).collect()
+    assert sorted(r["payload"] for r in rows) == sorted([bytearray(b"\xff\xfe binary \x00"), bytearray(b"second"), bytearray(b"plain")])
+    assert {r["headers"].get("warc-record-id") for r in rows} == {"<urn:uuid:1234-a>", "<urn:uuid:1234-b>", None}
+    pages = warc.read_pages(index).collect()
+    assert {r["page_id"] for r in pages} == {None} and {r["html"] for r in pages} == {"\ufffd\ufffd binary \x00", "second", "plain"}
+
+
 def test_warc_tables(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<p>ü</p>"), (2, None, ""), (None, "http://b/", None), (1, "http://a/", "<p>ü</p>"), (3, "http://c/\r\nx", "z" * 3_000_000)], "page_id long, url string, html string").selectExpr("*", "1 AS path", "2 AS file")
     files = warc.write_monolithic(pages.coalesce(1), str(tmp_path / "whole"))

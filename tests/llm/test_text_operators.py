@@ -88,27 +88,33 @@ def test_toxicity(spark, make):
     assert len(none) == 9 and all(r["score"] == 0 and not r["toxic"] for r in none)
 
 
-def test_nearest_is_exact():
+def test_nearest_is_exact_though_blocks_are_skipped():
     rng = np.random.default_rng(0)
-    rows = [(i, int(i % 2), np.unique(rng.integers(0, 40, 12)), None) for i in range(400)]
-    rows = [(i, y, b, rng.integers(1, 4, len(b))) for i, y, b, _ in rows]
-    rows = [(i, y, np.append(b, 100 + y), np.append(c, 2)) for i, y, b, c in rows]
-    index = toxicity.build_index(rows, np.ones(toxicity.BUCKETS), 400, toxicity.Params(least_chi2=0.0001))
-    dense = np.zeros((400, len(index.idf)))
+    word = np.arange(600, dtype=np.uint64)
+    rows = []
+    for i in range(900):  # themes, so that blocks differ
+        theme = i % 30
+        own = np.unique(np.concatenate([rng.integers(0, 40, 4), 40 + theme * 18 + rng.integers(0, 18, 8)]))
+        rows.append((i, int(i % 2), own.astype(np.uint64), rng.integers(1, 4, len(own))))
+    seen = sum(np.bincount(r[2].astype(int), minlength=600) for r in rows)
+    index = toxicity.build_index(rows, word, seen, 900, toxicity.Params())
+    every = [next(toxicity.vectors(index.word, index.idf, np.array([0, len(r[2])]), r[2], r[3])) for r in rows]
+    dense = np.zeros((900, 600))
     for k, i in enumerate(index.doc_id):
-        t, v = toxicity.vector(index, rows[i][2], rows[i][3])
-        dense[k, t] = v
-    for r in rows[:60]:
-        t, v = toxicity.vector(index, r[2], r[3])
-        query = np.zeros(len(index.idf))
+        dense[k, every[i][0]] = every[i][1]
+    summed = []
+    for t, v in every[:80]:
+        query = np.zeros(600)
         query[t] = v
-        cosine = dense[: len(index.doc_id)] @ query
-        best, got = toxicity.nearest(index, t, v, 10)
-        assert np.allclose(got, np.sort(cosine)[::-1][:10]) and np.allclose(cosine[best], got)
+        cosine = np.round(dense @ query, 12)
+        best, got, done = toxicity.nearest(index, t, v, 10)
+        summed.append(done)
+        assert best.tolist() == np.argsort(-cosine, kind="stable")[:10].tolist() and np.allclose(got, cosine[best], atol=1e-11)
+    assert np.mean(summed) < 0.7 * (900 // toxicity.BLOCK)
 
 
-def test_evidence_is_that_of_all_terms(spark):
-    """At production parameters, against cosines summed one by one over every word."""
+def test_evidence_votes_and_calibration_one_by_one(spark):
+    """At production parameters, against cosines summed word by word, votes counted in turn and the curve's condition."""
     rng = random.Random(17)
     words = [f"w{i}" for i in range(400)]
     texts = [[rng.choice(words) for _ in range(rng.randrange(5, 40))] + (["grimble"] if i % 4 == 0 and i > 60 else []) for i in range(200)]
@@ -116,19 +122,129 @@ def test_evidence_is_that_of_all_terms(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
     n, n_toxic = 120, 30
+    known = {w for t in texts[:120] for w in t}
     weight = {}
     for w in {w for t in texts for w in t}:
         a, b = (sum(w in texts[i] for i in range(120) if (i % 4 == 0) == y) for y in (True, False))
         chi2 = n * (a * (n - n_toxic - b) - b * (n_toxic - a)) ** 2 / ((a + b) * (n - a - b) * n_toxic * (n - n_toxic)) if a + b else 0
-        weight[w] = (np.log((1 + len(texts)) / (1 + sum(w in t for t in texts))) + 1) * np.sqrt(1 + chi2 / 30)
-    vectors = [{w: (1 + np.log(t.count(w))) * weight[w] for w in set(t)} for t in texts]
-    norms = [np.sqrt(sum(x * x for x in v.values())) for v in vectors]
-    got = {r["doc_id"]: r["evidence"] for r in toxicity.score(docs, labels).collect()}
+        weight[w] = (np.log((1 + len(texts)) / (1 + sum(w in t for t in texts) * (w in known))) + 1) * np.sqrt(1 + chi2 / 30)
+    vector = [{w: (1 + np.log(t.count(w))) * weight[w] for w in set(t)} for t in texts]
+    norms = [np.sqrt(sum(x * x for x in v.values())) for v in vector]
+    index = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels, index=index).collect()}
+    share = []
     for d in range(len(texts)):
-        cosine = {i: sum(x * vectors[i].get(w, 0) for w, x in vectors[d].items()) / norms[d] / norms[i] for i in range(120) if i != d}
-        assert np.allclose([e["cosine"] for e in got[d]], sorted(cosine.values(), reverse=True)[:15])
-        assert all(abs(cosine[e["doc_id"]] - e["cosine"]) < 1e-9 for e in got[d])
-    assert got[200][0]["doc_id"] == 0 and got[200][0]["toxic"] and abs(got[200][0]["cosine"] - 1) < 1e-9
+        cosine = {i: sum(x * vector[i].get(w, 0) for w, x in vector[d].items()) / norms[d] / norms[i] for i in range(120) if i != d}
+        near = got[d]["evidence"]
+        assert np.allclose([e["cosine"] for e in near], sorted(cosine.values(), reverse=True)[:15])
+        assert all(abs(cosine[e["doc_id"]] - e["cosine"]) < 1e-9 and e["toxic"] == (e["doc_id"] % 4 == 0) for e in near)
+        votes = [(1 / (1 - e["cosine"] + 0.1) * e["cosine"] * (0.5 / 0.25 if e["toxic"] else 0.5 / 0.75), e["toxic"]) for e in near]
+        share.append((sum(v for v, y in votes if y) + 0.25) / (sum(v for v, _ in votes) + 1))
+        q = 1 / (1 + np.exp(-(index.curve[0] + index.curve[1] * share[-1])))
+        assert abs(got[d]["score"] - q) < 1e-9 and got[d]["toxic"] == (q >= 0.5)
+    x, y = np.array(share[:120]), np.array([i % 4 == 0 for i in range(120)], float)
+    q = 1 / (1 + np.exp(-(index.curve[0] + index.curve[1] * x)))
+    assert abs((q - y).sum() + 1e-2 * index.curve[0]) < 1e-6 and abs((x * (q - y)).sum() + 1e-2 * index.curve[1]) < 1e-6
+    assert got[200]["evidence"][0]["doc_id"] == 0 and abs(got[200]["evidence"][0]["cosine"] - 1) < 1e-9
+
+
+def test_odd_labels(spark):
+    docs, labels = labelled(spark, 60)
+    kinds = "doc_id long, quality int, toxic int"
+    odd_ones = spark.createDataFrame([(0, 1, 0), (0, None, None), (None, 1, 1), (999, 0, 1), (5, 0, 1), (5, 1, None)], kinds)
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    index = toxicity.fit(docs, labels.union(odd_ones))
+    assert {i: int(t) for i, t in zip(index.doc_id, index.toxic)} == truth and truth[0] == truth[5] == 1  # any toxic label counts
+    repeated = docs.union(docs.where("doc_id < 3")).union(docs.where("doc_id < 3"))
+    assert sorted(toxicity.fit(repeated, labels).doc_id) == sorted(truth)
+    alone = toxicity.fit(docs, labels.where("toxic = 1"))
+    assert not alone.doc_id and {(r["score"], r["toxic"]) for r in toxicity.score(docs, labels, index=alone).collect()} == {(1.0, False)}
+    low = quality.score(docs, labels.where("quality = 0")).collect()
+    assert {r["verdict"] for r in low} == {"drop"}
+    model = quality.fit(docs, labels.union(odd_ones))
+    assert np.isfinite(model.weights).all() and quality.fit(docs, labels.limit(0)).shift == 30.0
+
+
+def test_samples_are_by_row(spark):
+    rows = spark.createDataFrame([(None, f"zz {i}", "zz") for i in range(300)] + [(i % 2, f"aa {i % 40}", "aa") for i in range(600)], "doc_id long, text string, lang string")
+    some = common.sampled(rows, ["doc_id", "text", "lang"], 50, 7).collect()
+    assert len(some) == 50 == len({r["__hash"] for r in some}) and {r["lang"] for r in some} == {"aa", "zz"}
+    assert {r["__hash"] for r in some} == {r["__hash"] for r in common.sampled(rows.repartition(7), ["doc_id", "text", "lang"], 50, 7).collect()}
+    assert common.sampled(rows, ["doc_id", "text", "lang"], 5000, 7).count() == 340
+    model = langid.fit(rows, langid.Params(train_rows=50))
+    assert model.classes == ["aa", "zz"]
+    same = spark.createDataFrame([(1, "the same text", "en")] * 400 + [(2, "andere Worte", None)], "doc_id long, text string, lang string")
+    assert langid.fit(same, langid.Params(train_rows=1)).classes == ["en"]
+
+
+def test_language_features_and_training_one_by_one():
+    """Features against n-grams counted in turn, FTRL-proximal against its rule for one coordinate after another."""
+    texts = ["Ab c", "ab", "", None, "1!", "öa b"]
+    bounds, at, count = langid.features(pa.array(texts))
+    own = lambda i: dict(zip(at[bounds[i] : bounds[i + 1]].tolist(), count[bounds[i] : bounds[i + 1]].tolist()))
+    assert [sum(own(i).values()) for i in range(6)] == [4 + 3 + 2, 2 + 1, 0, 0, 0, 4 + 3 + 2]
+    for i, t in enumerate(texts):
+        alone = langid.features(pa.array([t], pa.string()))
+        assert dict(zip(alone[1].tolist(), alone[2].tolist())) == own(i)
+    assert set(own(1)) <= set(own(0))
+    rng = np.random.default_rng(5)
+    rows = [(("a", "b", "c")[i % 3], np.unique(np.append(rng.integers(0, 30, 6), 30 + i % 3)), None) for i in range(40)]
+    rows = [(y, b, rng.integers(1, 4, len(b))) for y, b, _ in rows]
+    idf, p = rng.uniform(1, 3, langid.BUCKETS), langid.Params(held_out=0.25)
+    model = langid.train(rows, idf, p)
+    shuffle = np.random.default_rng(p.seed)
+    order = shuffle.permutation(40)
+    fit, z, n = order[10:], {}, {}
+
+    def w(j, k):
+        zj = z.get((j, k), 0.0)
+        return 0.0 if abs(zj) <= p.l1 else -(zj - np.sign(zj) * p.l1) / ((p.beta + np.sqrt(n.get((j, k), 0.0))) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for i in shuffle.permutation(fit):
+            y, b, c = rows[i]
+            x = (1 + np.log(c)) * idf[b]
+            x = x / np.sqrt((x * x).sum())
+            logit = np.array([sum(v * w(j, k) for j, v in zip(b.tolist(), x)) for k in range(3)])
+            q = np.exp(logit - logit.max())
+            q /= q.sum()
+            old = {(j, k): w(j, k) for j in b.tolist() for k in range(3)}
+            for j, v in zip(b.tolist(), x):
+                for k in range(3):
+                    g = (q[k] - ("abc"[k] == y)) * v
+                    s = (np.sqrt(n.get((j, k), 0.0) + g * g) - np.sqrt(n.get((j, k), 0.0))) / p.alpha
+                    z[j, k] = z.get((j, k), 0.0) + g - s * old[j, k]
+                    n[j, k] = n.get((j, k), 0.0) + g * g
+    assert all(abs(model.weights[j, k] - w(j, k)) < 1e-5 for j in range(33) for k in range(3)) and not model.weights[33:].any()
+
+
+def test_quality_training_one_by_one():
+    """AdaGrad's steps for one coordinate after another; Platt's curve by its condition; the scores of whole texts."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(50):
+        at = np.unique(np.append(rng.integers(0, 20, 5), 20 + i % 2))
+        rows.append((i % 2, at.astype(np.int32), rng.dirichlet(np.ones(len(at))).astype(np.float32)))
+    p = quality.Params()
+    model = quality.train(rows, p)
+    shuffle = np.random.default_rng(p.seed)
+    order = shuffle.permutation(50)
+    held, fit, w, seen = order[:15], order[15:], {}, {}
+    for _ in range(p.epochs):
+        for i in shuffle.permutation(fit):
+            y, at, share = rows[i]
+            q = 1 / (1 + np.exp(-sum(w.get(j, 0.0) * s for j, s in zip(at.tolist(), share.tolist()))))
+            for j, s in zip(at.tolist(), share.tolist()):
+                g = (q - y) * s + p.l2 * w.get(j, 0.0)
+                seen[j] = seen.get(j, 1e-8) + g * g
+                w[j] = w.get(j, 0.0) - p.rate * g / np.sqrt(seen[j])
+    assert all(abs(model.weights[j] - v) < 1e-4 for j, v in w.items()) and np.count_nonzero(model.weights) == len(w)
+    x = np.array([sum(w.get(j, 0.0) * s for j, s in zip(rows[i][1].tolist(), rows[i][2].tolist())) for i in held])
+    truth = np.array([rows[i][0] for i in held])
+    good, bad = truth.sum(), len(truth) - truth.sum()
+    y = np.where(truth == 1, (good + 1) / (good + 2), 1 / (bad + 2))
+    q = 1 / (1 + np.exp(-(model.scale * x + model.shift)))
+    assert abs((q - y).sum()) < 1e-3 and abs((x * (q - y)).sum()) < 1e-3
 
 
 def test_quality(spark, make):
