@@ -194,12 +194,13 @@ def test_permutation():
     assert mixing.permuted(np.arange(50), np.full(50, 50), np.full(50, 1)).tolist() != mixing.permuted(np.arange(50), np.full(50, 50), np.full(50, 2)).tolist()
 
 
-def test_mixing(make):
+def test_mixing(make, monkeypatch):
     rng = random.Random(9)
     texts = [" ".join(prose(rng, rng.randrange(0, 200))) for _ in range(90)] + [None, ""]
     df = make(texts, [(None, "no id and no source", None, None, None)]).selectExpr("*", "1 AS shard", "2 AS task", "3 AS rest").repartition(3, "doc_id")
     p = mixing.Params(block_tokens=64, shard_blocks=50, weights={"s0": 6, "s1": 3, "s2": 1, "absent": 5})
-    df = common.saved(df, "test")
+    df = common.saved(df.repartition(7), "test")
+    monkeypatch.setattr(mixing, "FAN", 2)
     rows = mixing.mix_blocks(df, p).collect()
     encoder = tokens.tokenizer()
     stream = {}
@@ -212,6 +213,7 @@ def test_mixing(make):
         ids = np.frombuffer(r["ids"], np.uint16).tolist()
         assert len(ids) == r["n_tokens"] <= 64 and blocks.setdefault((r["source"], r["index"]), (ids, r["doc_ids"])) == (ids, r["doc_ids"])
     for s in ("s0", "s1", "s2"):
+        assert sum(len(ids) < 64 for (of, _), (ids, _) in blocks.items() if of == s) <= 1
         own = [r for r in rows if r["source"] == s]
         epochs = {}
         for r in own:
@@ -229,18 +231,23 @@ def test_mixing(make):
     assert {r["source"] for r in mixing.mix_blocks(df, mixing.Params(block_tokens=64)).collect()} == {"s0", "s1", "s2", None}
 
 
-def test_mixed_documents_are_stretches_of_theirs(make):
-    texts = ["Grüße ñandú " * 30, "plain words " * 100, None, "", "日本語テキスト" * 40]
-    df = make(texts).selectExpr("*", "doc_id * 2 AS task", "'x' AS body")
+def test_mixed_documents_are_stretches_of_theirs(make, monkeypatch):
+    texts = ["Grüße ñandú " * 30, "plain words " * 100, None, "", "日本語テキスト" * 40, "short", "long " * 30_000, "日本"]
+    df = common.saved(make(texts).selectExpr("*", "doc_id * 2 AS task", "'x' AS body").repartition(6), "test")
+    monkeypatch.setattr(mixing, "FAN", 2)
     p = mixing.Params(block_tokens=16, weights={"s0": 1, "s1": 1})
     out = mixing.mix_documents(df, p)
     assert out.columns == df.columns
     rows = out.collect()
     assert all(r["text"] in texts[r["doc_id"]] and len(r["text"]) == r["n_chars"] and r["task"] == 2 * r["doc_id"] and r["source"] == f"s{r['doc_id'] % 3}" for r in rows)
-    pieces = {i: [] for i in range(5)}
+    pieces, blocks = {i: [] for i in range(8)}, {}
     for r in mixing._pieces(df, p).collect():
-        pieces[r["rest"]["doc_id"]].append((r["nth"], r["body"]))
-    assert all("".join(b for _, b in sorted(pieces[i], key=lambda x: x[0])) == (texts[i] or "") for i in range(5))
+        pieces[r["rest"]["doc_id"]].append(((r["task"], r["nth"]), r["body"]))
+        blocks.setdefault(r["key"], set()).add((r["task"], r["nth"]))
+    assert all("".join(b for _, b in sorted(pieces[i], key=lambda x: x[0])) == (texts[i] or "") for i in range(8))
+    encode = tokens.tokenizer().encoding.encode_ordinary
+    ids = {f"s{k}": sum(len(encode(t)) + 1 for i, t in enumerate(texts) if t and i % 3 == k) for k in range(3)}
+    assert {s: len(b) for s, b in blocks.items()} == {s: -(-n // 16) for s, n in ids.items()}  # full but for one each
     assert mixing.mix_documents(df.limit(0), p).count() == 0
 
 
