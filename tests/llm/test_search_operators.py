@@ -8,11 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-import corpus_pipeline
 from llm import common, decontam, minhash, mixing, simple8b, tokens, warc
 
-DATA = "/root/testdata/sf0.001"
-
 
 def prose(rng, n):
     return [rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()) + str(rng.randrange(40)) for _ in range(n)]
@@ -347,34 +344,3 @@ def test_warc_tables(spark, tmp_path):
     back = sorted(map(tuple, warc.read_pages(index).collect()), key=str)
     assert back == sorted([(1, "http://a/", "<p>ü</p>"), (2, None, ""), (None, "http://b/", None), (1, "http://a/", "<p>ü</p>"), (3, "http://c/%0D%0Ax", "z" * 3_000_000)], key=str)
     assert warc.normalise(warc.write_monolithic(pages.limit(0), str(tmp_path / "none")), str(tmp_path / "m2")).count() == 0
-
-
-def test_pipeline(spark):
-    docs = common.table(spark, DATA, "documents")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "mixture", "token_binary"]
-    seen = docs
-    texts = {}
-    for r in docs.collect():
-        texts.setdefault(r["doc_id"], r["text"])
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = common.saved(stage(spark, seen, DATA), name)
-        assert out.columns == docs.columns
-        ids = {r["doc_id"] for r in out.select("doc_id").collect()}
-        assert ids <= {r["doc_id"] for r in seen.select("doc_id").collect()}
-        if name == "language_id":
-            assert len(ids) > 0.95 * len(texts)
-        if name == "near_duplicates":
-            kept = [texts[i] for i in ids]
-            assert len(set(kept)) == len(kept)
-        if name == "decontamination":
-            items = [r["text"].lower() for r in common.table(spark, DATA, "benchmark").collect()]
-            assert not any(i in texts[d].lower() for d in ids for i in items)
-            clean = {d for d in {r["doc_id"] for r in seen.collect()} if not any(i[:40] in texts[d].lower() for i in items)}
-            assert len(clean - ids) <= 0.02 * len(clean)
-        seen = out
-    rows = {(r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.token_binary(spark, seen, DATA).collect()}
-    encoding = tokens.tokenizer().encoding
-    assert rows == {(r["doc_id"], len(encoding.encode_ordinary(r["text"]))) for r in seen.collect()}
-    empty = docs.limit(0)
-    for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, DATA).count() == 0, name
