@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept;
 ``run`` writes each stage's rows as Parquet to the shared folder and reads them again for
 the next one. All stages but the last return the columns of documents.
+
+Defined results for odd input are those of the operators: null and empty texts, and texts
+without a letter, are rejected by language ID; texts of any length go through whole; of
+equal or near texts the least doc_id stays (null last, then the first row), so repeated
+rows are one; a null source is a source of its own; other columns, whatever their names,
+are passed on with their row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +51,7 @@ STAGES = [
     ("token_binary", token_binary),
 ]
 
-#: No SQL: models, signatures, alignments, seeded draws and byte-pair codes have none. Tests hold the stages against brute force.
+#: No SQL: models, signatures, alignments, seeded draws and byte-pair codes have none. tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
