@@ -156,59 +156,71 @@ def votes(index: Index, rows: Iterator[tuple[np.ndarray, np.ndarray]], ids: list
         yield float((weight @ index.toxic[best] + p.prior_mass * index.prior) / (weight.sum() + p.prior_mass)), best, cosine
 
 
-def association(rows: list[tuple], word: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Rows:
+    """The sampled labelled rows, in a fixed order: row i's different words and their counts are at bounds[i] .. bounds[i + 1]."""
+
+    doc_id: list
+    toxic: np.ndarray
+    bounds: np.ndarray
+    hashed: np.ndarray
+    count: np.ndarray
+
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.doc_id), dtype=np.int32), np.diff(self.bounds))
+
+
+def association(rows: Rows, term: np.ndarray, n_terms: int) -> np.ndarray:
     """Chi-square of each word's presence and the label; rows of both labels."""
-    held = [np.zeros(len(word)), np.zeros(len(word))]
-    for _, y, hashed, _ in rows:
-        held[int(y)][np.searchsorted(word, hashed)] += 1
-    n, n_toxic = len(rows), sum(int(r[1]) for r in rows)
-    b, a = held
+    n, n_toxic = len(rows.doc_id), int(rows.toxic.sum())
+    held = np.bincount(term, minlength=n_terms).astype(float)
+    a = np.bincount(term[rows.toxic[rows.row()] == 1], minlength=n_terms).astype(float)
+    b = held - a
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.nan_to_num(n * (a * (n - n_toxic - b) - b * (n_toxic - a)) ** 2 / ((a + b) * (n - a - b) * float(n_toxic) * (n - n_toxic)), posinf=0.0)
+        return np.nan_to_num(n * (a * (n - n_toxic - b) - b * (n_toxic - a)) ** 2 / (held * (n - held) * float(n_toxic) * (n - n_toxic)), posinf=0.0)
 
 
-def build_index(rows: list[tuple], word: np.ndarray, seen: np.ndarray, total: int, p: Params) -> Index:
-    """rows: (doc_id, toxic, word hashes, counts) of the sampled labelled rows, in a fixed order; seen: documents of each word."""
-    toxic = np.array([r[1] for r in rows], np.float64)
-    prior = float(toxic.mean()) if len(rows) else 0.0
+def build_index(rows: Rows, word: np.ndarray, seen: np.ndarray, total: int, p: Params) -> Index:
+    """word: the rows' words, sorted; seen: the documents of each of all documents."""
+    prior = float(rows.toxic.mean()) if len(rows.doc_id) else 0.0
     idf = np.log((1 + total) / (1 + np.append(seen, 0))) + 1
     none = np.zeros(0, np.int64)
     index = Index(word, idf, np.zeros(len(word) + 2, np.int64), none, np.zeros(0), np.zeros(1, np.int64), none, np.zeros(0), [], np.zeros(0), np.zeros(0), prior)
     if not 0 < prior < 1:
         return index
-    idf[:-1] *= np.sqrt(1 + association(rows, word) / p.least_chi2)
-    bounds = np.cumsum([0, *[len(r[2]) for r in rows]])
-    all_vectors = list(vectors(word, idf, bounds, np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])))
-    chosen, taken = [], [0, 0]
-    for i, r in enumerate(rows):
-        if len(r[2]) and taken[int(r[1])] < p.examples:
-            taken[int(r[1])] += 1
-            chosen.append(i)
-    if not chosen:
+    term = np.searchsorted(word, rows.hashed).astype(np.int32)  # every word is there
+    idf[:-1] *= np.sqrt(1 + association(rows, term, len(word)) / p.least_chi2)
+    value = (1 + np.log(rows.count)) * idf[term]
+    length = np.sqrt(np.add.reduceat(np.append(value * value, 0.0), np.minimum(rows.bounds[:-1], len(value))))
+    value /= np.repeat(np.maximum(length, 1e-12), np.diff(rows.bounds))
+    filled = np.flatnonzero(np.diff(rows.bounds))
+    chosen = np.sort(np.concatenate([filled[rows.toxic[filled] == y][: p.examples] for y in (0, 1)]))
+    if not len(chosen):
         return index
-    held = np.bincount(np.concatenate([all_vectors[i][0] for i in chosen]), minlength=len(word))
+    own = [slice(rows.bounds[i], rows.bounds[i + 1]) for i in chosen]
+    held = np.bincount(np.concatenate([term[o] for o in own]), minlength=len(word))
 
     def place(i: int) -> tuple:
-        term, value = all_vectors[i]
-        often = held[term] > 1
-        return bool(rows[i][1]), int(term[often][value[often].argmax()]) if often.any() else len(word)
-
-    chosen.sort(key=place)  # stable
-    example = np.repeat(np.arange(len(chosen)), [len(all_vectors[i][0]) for i in chosen])
-    term, value = (np.concatenate([all_vectors[i][k] for i in chosen]) for k in (0, 1))
-    order = np.lexsort((example, term))
-    term, value, example = term[order], value[order], example[order]
+        often = held[term[own[i]]] > 1
+        return bool(rows.toxic[chosen[i]]), int(term[own[i]][often][value[own[i]][often].argmax()]) if often.any() else len(word)
+
+    order = sorted(range(len(chosen)), key=place)  # stable
+    chosen, own = chosen[order], [own[i] for i in order]
+    example = np.repeat(np.arange(len(own), dtype=np.int32), [o.stop - o.start for o in own])
+    of, weight = np.concatenate([term[o] for o in own]), np.concatenate([value[o] for o in own])
+    order = np.lexsort((example, of))
+    of, weight, example = of[order], weight[order], example[order]
     block = example // BLOCK
-    first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
-    labels = np.array([rows[i][1] for i in chosen], np.float64)
+    first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (block[1:] != block[:-1])]))
+    labels = rows.toxic[chosen].astype(np.float64)
     rare = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
     index = replace(
-        index, group_first=np.searchsorted(term[first], np.arange(len(word) + 2)), group_block=block[first], group_most=np.maximum.reduceat(value, first), posting_first=np.append(first, len(term)),
-        posting=example, value=value, doc_id=[rows[i][0] for i in chosen], toxic=labels, share=rare,
+        index, group_first=np.searchsorted(of[first], np.arange(len(word) + 2)), group_block=block[first], group_most=np.maximum.reduceat(weight, first), posting_first=np.append(first, len(of)),
+        posting=example, value=weight, doc_id=[rows.doc_id[i] for i in chosen], toxic=labels, share=rare,
     )
     # logistic calibration by Newton's steps with a small ridge; no row has itself among its neighbours
-    x = np.array([share for share, _, _ in votes(index, iter(all_vectors), [r[0] for r in rows], p)])
-    return replace(index, curve=calibration(x, toxic))
+    each = ((term[a:b], value[a:b]) for a, b in zip(rows.bounds, rows.bounds[1:]))
+    return replace(index, curve=calibration(np.array([share for share, _, _ in votes(index, each, rows.doc_id, p)]), rows.toxic.astype(float)))
 
 
 def calibration(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -243,9 +255,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Index:
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array([o[k] for o in own], pa.binary()) for k in (0, 1)]], names=["hash", "doc_id", "toxic", "words", "counts"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", "toxic")}
-    found = rows.select("__hash", "doc_id", "toxic", "text").mapInArrow(sample, f"hash long, doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, words binary, counts binary").collect()
-    found = [(r["doc_id"], int(bool(r["toxic"])), np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in sorted(found, key=lambda r: r["hash"])]
-    word = np.unique(np.concatenate([np.zeros(0, np.uint64), *[r[2] for r in found]]))
+    found = rows.select("__hash", "doc_id", "toxic", "text").mapInArrow(sample, f"hash long, doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, words binary, counts binary").toArrow()
+    found = gathered(found.sort_by("hash"))
+    word = np.unique(found.hashed)
     shared = docs.sparkSession.sparkContext.broadcast(word)  # words of labelled_rows rows
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +272,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Index:
     return build_index(found, word, counts[:-2], int(counts[-1]), params)
 
 
+def gathered(table: pa.Table) -> Rows:
+    """Rows of doc_id, toxic, words and counts."""
+    words, counts = ([np.frombuffer(x.as_buffer(), kind) for x in table[c]] for c, kind in (("words", np.uint64), ("counts", np.int32)))
+    toxic = np.array([int(bool(y)) for y in table["toxic"].to_pylist()], np.int8)
+    bounds = np.cumsum([0, *map(len, words)])
+    return Rows(table["doc_id"].to_pylist(), toxic, bounds, np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate([np.zeros(0, np.int32), *counts]))
+
+
 def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), index: Index | None = None) -> DataFrame:
     """doc_id, score (the probability), toxic, and evidence: neighbours' doc_id, cosine and label, nearest first."""
     shared = docs.sparkSession.sparkContext.broadcast(index or fit(docs, labels, params))  # of bounded size
