@@ -7,10 +7,11 @@
    and none is left out; words beyond the vocabulary have the idf of none and add to the length.
 2. Up to ``examples`` rows of each label make an inverted index. Examples that share their
    heaviest word lie together in blocks of ``BLOCK``; a term's postings are grouped by block,
-   each group with its greatest value. The sum of these over a query's terms bounds the
-   cosines in a block, so the blocks of the highest bounds are summed first, and of the
-   others only those whose bound reaches the k-th cosine found: the k nearest are exact
-   (ties, to 12 digits: first example).
+   each group with its greatest value. Terms that more than one in ``DENSE`` examples hold are
+   rows of a matrix instead, multiplied with many queries at once. A block's greatest such
+   product and the greatest values of a query's other terms bound the cosines in the block, so
+   the blocks of the highest bounds are summed first, and of the others only those whose bound
+   reaches the k-th cosine found: the k nearest are exact (ties, to 12 digits: first example).
 3. Neighbours vote by 1 / (distance + 0.1) times cosine, a neighbour's vote also weighed by
    how rare its label is among the examples, against ``prior_mass`` votes for the share of
    toxic rows; a logistic curve fitted on the sampled rows, each voted on by the others,
@@ -30,8 +31,9 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,9 @@ from .kernel import Words, slices
 BLOCK = 32
 #: Blocks that are summed first.
 FIRST = 4
+DENSE = 10
+#: Queries that are multiplied at once.
+QUERIES = 256
 
 
 @dataclass(frozen=True)
@@ -64,6 +69,8 @@ class Index:
 
     word: np.ndarray  # term -> hash, sorted
     idf: np.ndarray  # term -> weight; one more for all other words
+    dense_of: np.ndarray  # term -> its row of dense, or -1
+    dense: np.ndarray
     group_first: np.ndarray  # term -> its first group
     group_block: np.ndarray
     group_most: np.ndarray
@@ -111,46 +118,56 @@ def vectors(word: np.ndarray, idf: np.ndarray, bounds: np.ndarray, hashed: np.nd
         yield term[lo:hi][known], value[lo:hi][known] / max(float(np.sqrt(value[lo:hi] @ value[lo:hi])), 1e-12) if hi > lo else value[lo:hi]
 
 
-def nearest(index: Index, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The k examples of the greatest positive cosine and these cosines, exactly, best first; how many blocks were summed."""
-    n_blocks = -(-len(index.doc_id) // BLOCK)
-    cosine = np.zeros(n_blocks * BLOCK)
+def search(index: Index, queries: Iterable[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For each vector the k examples of the greatest positive cosine and these cosines, exactly, best first; how many blocks were summed."""
+    queries = iter(queries)
+    while part := list(islice(queries, QUERIES)):
+        matrix = np.zeros((len(part), len(index.dense)))
+        for own, (term, value) in zip(matrix, part):
+            row = index.dense_of[term]
+            own[row[row >= 0]] = value[row >= 0]
+        for cosine, (term, value) in zip(matrix @ index.dense, part):
+            yield _finished(index, cosine, term, value, k)
+
+
+def _finished(index: Index, cosine: np.ndarray, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The nearest, from the dense terms' part of the cosines."""
+    n_blocks = len(cosine) // BLOCK
     group, of = _spans(index.group_first[term], index.group_first[term + 1])
     block, weight = index.group_block[group], value[of]
-    bound = np.bincount(block, weight * index.group_most[group], n_blocks)
+    bound = cosine.reshape(n_blocks, BLOCK).max(1) + np.bincount(block, weight * index.group_most[group], n_blocks)
 
     def add(which: np.ndarray) -> None:
-        own = which[block]
-        posting, at = _spans(index.posting_first[group[own]], index.posting_first[group[own] + 1])
-        cosine[:] += np.bincount(index.posting[posting], weight[own][at] * index.value[posting], len(cosine))
+        own = group[which[block]]
+        posting, at = _spans(index.posting_first[own], index.posting_first[own + 1])
+        if len(posting):
+            cosine[:] += np.bincount(index.posting[posting], weight[which[block]][at] * index.value[posting], len(cosine))
 
     wanted = np.zeros(n_blocks, bool)
-    if n_blocks > FIRST:
-        wanted[np.argpartition(-bound, FIRST)[:FIRST]] = True
-    else:
-        wanted[:] = True
+    wanted[np.argpartition(-bound, FIRST)[:FIRST] if n_blocks > FIRST else slice(None)] = True
     add(wanted)
-    done = int(wanted.sum())
-    kth = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
+    kth = np.partition(np.where(np.repeat(wanted, BLOCK), cosine, 0.0), -k)[-k] if len(cosine) >= k else 0.0
     rest = ~wanted & (bound > 0) & (bound >= kth - 1e-9)
-    if rest.any():
-        add(rest)
-        done += int(rest.sum())
-    cosine = np.round(cosine, 12)
+    add(rest)
+    wanted |= rest
+    cosine = np.round(np.where(np.repeat(wanted, BLOCK), cosine, 0.0), 12)
     kth = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
     some = np.flatnonzero((cosine > 0) & (cosine >= kth))
     best = some[np.argsort(-cosine[some], kind="stable")][:k]
-    return best, cosine[best], done
+    return best, cosine[best], int(wanted.sum())
 
 
-def votes(index: Index, rows: Iterator[tuple[np.ndarray, np.ndarray]], ids: list, p: Params) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+def nearest(index: Index, term: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    return next(search(index, [(term, value)], k))
+
+
+def votes(index: Index, rows: Iterable[tuple[np.ndarray, np.ndarray]], ids: list, p: Params) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
     """For each row's vector the share of votes for toxic, before calibration, and the neighbours."""
-    for doc_id, (term, value) in zip(ids, rows):
-        if not len(term) or not index.doc_id:
-            yield index.prior, np.zeros(0, np.int64), np.zeros(0)
-            continue
-        best, cosine, _ = nearest(index, term, value, p.neighbours + 1)
-        other = np.array([doc_id is None or index.doc_id[i] != doc_id for i in best], bool)
+    if not index.doc_id:
+        yield from ((index.prior, np.zeros(0, np.int64), np.zeros(0)) for _ in ids)
+        return
+    for doc_id, (best, cosine, _) in zip(ids, search(index, rows, p.neighbours + 1)):
+        other = np.array([doc_id is None or index.doc_id[i] != doc_id for i in best.tolist()], bool)
         best, cosine = best[other][: p.neighbours], cosine[other][: p.neighbours]
         weight = cosine / (1.1 - np.minimum(cosine, 1)) * index.share[best]
         yield float((weight @ index.toxic[best] + p.prior_mass * index.prior) / (weight.sum() + p.prior_mass)), best, cosine
@@ -185,7 +202,7 @@ def build_index(rows: Rows, word: np.ndarray, seen: np.ndarray, total: int, p: P
     prior = float(rows.toxic.mean()) if len(rows.doc_id) else 0.0
     idf = np.log((1 + total) / (1 + np.append(seen, 0))) + 1
     none = np.zeros(0, np.int64)
-    index = Index(word, idf, np.zeros(len(word) + 2, np.int64), none, np.zeros(0), np.zeros(1, np.int64), none, np.zeros(0), [], np.zeros(0), np.zeros(0), prior)
+    index = Index(word, idf, np.full(len(word), -1), np.zeros((0, 0)), np.zeros(len(word) + 2, np.int64), none, np.zeros(0), np.zeros(1, np.int64), none, np.zeros(0), [], np.zeros(0), np.zeros(0), prior)
     if not 0 < prior < 1:
         return index
     term = np.searchsorted(word, rows.hashed).astype(np.int32)  # every word is there
@@ -208,14 +225,21 @@ def build_index(rows: Rows, word: np.ndarray, seen: np.ndarray, total: int, p: P
     chosen, own = chosen[order], [own[i] for i in order]
     example = np.repeat(np.arange(len(own), dtype=np.int32), [o.stop - o.start for o in own])
     of, weight = np.concatenate([term[o] for o in own]), np.concatenate([value[o] for o in own])
+    often = np.flatnonzero(held * DENSE > len(own))
+    dense_of = np.full(len(word), -1, np.int32)
+    dense_of[often] = np.arange(len(often))
+    dense = np.zeros((len(often), -(-len(own) // BLOCK) * BLOCK))
+    is_dense = dense_of[of] >= 0
+    dense[dense_of[of[is_dense]], example[is_dense]] = weight[is_dense]
+    of, weight, example = of[~is_dense], weight[~is_dense], example[~is_dense]
     order = np.lexsort((example, of))
     of, weight, example = of[order], weight[order], example[order]
     block = example // BLOCK
-    first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (block[1:] != block[:-1])]))
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), bool), (of[1:] != of[:-1]) | (block[1:] != block[:-1])]))
     labels = rows.toxic[chosen].astype(np.float64)
     rare = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
     index = replace(
-        index, group_first=np.searchsorted(of[first], np.arange(len(word) + 2)), group_block=block[first], group_most=np.maximum.reduceat(weight, first), posting_first=np.append(first, len(of)),
+        index, dense_of=dense_of, dense=dense, group_first=np.searchsorted(of[first], np.arange(len(word) + 2)), group_block=block[first], group_most=np.maximum.reduceat(weight, first) if len(first) else np.zeros(0), posting_first=np.append(first, len(of)),
         posting=example, value=weight, doc_id=[rows.doc_id[i] for i in chosen], toxic=labels, share=rare,
     )
     # logistic calibration by Newton's steps with a small ridge; no row has itself among its neighbours
