@@ -44,7 +44,7 @@ def test_stable_filters(spark):
     f = lambda value, name: one(spark, value, getattr(text, name))
     assert f("[m](/cdn-cgi/l/email-protection#0aF3) x", "strip_email_tokens") == "[m](/cdn-cgi/l/email-protection) x"
     assert f('[F](https://www.foundant.com "t 1") y', "strip_portal_footer_title") == "[F](https://www.foundant.com) y"
-    sentinel = text._HONEYPOT + "."
+    sentinel = text._HIDDEN_FIELD
     assert f(f"a\n\nPhone\n\n{sentinel}", "strip_honeypot_label") == f"a\n\n{sentinel}"
     assert f(f"a\n\n{'long ' * 20}\n\n{sentinel}", "strip_honeypot_label") == f"a\n\n{'long ' * 20}\n\n{sentinel}"
     strip = "x\n## Related Guides & Reports\n* a\n* b\n[![](https://e/EREF-white-logo.png)]"
@@ -91,6 +91,21 @@ def test_too_old(spark):
     assert (ask("20240101000000", 10), ask("20240130000000", 10), ask("junk", 10), ask("20200101000000", 0)) == (True, False, False, False)
 
 
-def test_jvm_text_is_the_same_on_plain_entities(spark):
-    body = "<p>a &amp; &lt;b&gt; &copy;</p>"
-    assert one(spark, body, text.visible_text_jvm) == one(spark, body, text.visible_text) == " ".join(stdlib.unescape(re.sub("<[^>]+>", " ", body)).split())
+def test_filters_of_what_changes(spark):
+    """Each by what it must take out and what it must leave."""
+    run = lambda body, f: one(spark, body, f)
+    mail = "[a](/cdn-cgi/l/email-protection#0fA9) [b](/cdn-cgi/l/email-protection#xyz) /cdn-cgi/l/email-protection #12 email-protection#12"
+    assert run(mail, text.strip_email_tokens) == mail.replace("#0fA9", "")
+    foot = '[F](https://www.foundant.com "t 1 2") [G](https://www.foundant.com) [H](https://www.other.com "x")'
+    assert run(foot, text.strip_portal_footer_title) == foot.replace(' "t 1 2"', "")
+    notice = "This field is for validation purposes and should be left unchanged."
+    assert run(f"a\n\nName\n\n{notice}\nb\n\nComments\n\n{notice}", text.strip_honeypot_label) == f"a\n\n{notice}\nb\n\n{notice}"
+    for kept in (f"Name\n\n{notice}", f"a\n\n{'n' * 41}\n\n{notice}", f"a\nName\n\n{notice}", f"a\n\nName\n{notice}", "a\n\nName\n\nThis field is for"):
+        assert run(kept, text.strip_honeypot_label) == kept
+    strip = "body\n## Related Guides & Reports\n\n* one\n* two\n[![](https://x/EREF-white-logo.png)](/)\nfoot"
+    assert run(strip, text.strip_related_carousel) == "body\n[![](https://x/EREF-white-logo.png)](/)\nfoot"
+    for kept in (strip.replace("EREF-white", "other"), strip.replace("## Related Guides", "## Other Guides"), strip.removeprefix("body\n")):
+        assert run(kept, text.strip_related_carousel) == kept
+    assert run(strip, lambda c: text.apply_filters(c, text.STABLE)) == "body\n[![](https://x/EREF-white-logo.png)](/)\nfoot"
+    assert run("a\n| | |\n| --- | :-: |\nb\n| x |\n| - |", text.drop_empty_tables) == "a\nb\n| x |\n| - |"
+    assert run(None, lambda c: text.apply_filters(c, text.STABLE)) is None and run("", lambda c: text.apply_filters(c, text.STABLE)) == ""

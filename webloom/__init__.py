@@ -1,7 +1,7 @@
 """Spark-native goal-directed web traversal and structured extraction."""
 
-from .plans.crawl import Crawler, Web
+from .plans.crawl import Crawler, LiveWeb, Web
 from .plans.result import CrawlResult, Usage, Verdict
 from .settings import Settings
 
-__all__ = ["Crawler", "CrawlResult", "Settings", "Usage", "Verdict", "Web"]
+__all__ = ["Crawler", "CrawlResult", "LiveWeb", "Settings", "Usage", "Verdict", "Web"]

@@ -7,6 +7,7 @@ import functools
 import os
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,14 +43,32 @@ def split(text: str, most: int, model: str = "", name: str = "") -> list[str]:
     return [encoding(model, name).decode(ids[i : i + most]) for i in range(0, len(ids), most)]
 
 
-@F.arrow_udf(T.LongType())
-def count_tokens(text: pa.Array) -> pa.Array:
-    return pa.array([count(t) for t in text.to_pylist()], pa.int64())
+def count_tokens(column: Column, model: str = "", name: str = "", join: str = "") -> Column:
+    """The tokens of each text; with ``join`` those it adds where that and a line that begins with a dash come after it."""
+
+    @F.arrow_udf(T.LongType())
+    def run(text: pa.Array) -> pa.Array:
+        extra = count("-", model, name) if join else 0
+        return pa.array([count((t or "") + join + "-" * bool(join), model, name) - extra for t in text.to_pylist()], pa.int64())
+
+    return run(column)
+
+
+def pieces(text: str, most: int, model: str = "", name: str = "") -> list[dict]:
+    """``split`` with each stretch's number of tokens."""
+    code = encoding(model, name)
+    ids = code.encode_ordinary(text)
+    if len(ids) <= most or most <= 0:
+        return [{"chunk": text, "n_tokens": len(ids)}]
+    return [{"chunk": code.decode(ids[i : i + most]), "n_tokens": min(most, len(ids) - i)} for i in range(0, len(ids), most)]
 
 
 def split_by_tokens(most: int, model: str = "", name: str = ""):
-    @F.arrow_udf("array<string>")
+    """array<struct<chunk, n_tokens>> of each text: encoded once."""
+    kind = pa.list_(pa.struct([("chunk", pa.string()), ("n_tokens", pa.int64())]))
+
+    @F.arrow_udf("array<struct<chunk: string, n_tokens: long>>")
     def run(text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else split(t, most, model, name) for t in text.to_pylist()], pa.list_(pa.string()))
+        return pa.array([None if t is None else pieces(t, most, model, name) for t in text.to_pylist()], kind)
 
     return run

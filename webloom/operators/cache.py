@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,10 +60,13 @@ class ParquetStore:
             rows.schema  # noqa: B018 - is it there?
         except Exception:  # noqa: BLE001
             rows = self.spark.createDataFrame([], schema)
-        return rows.groupBy("namespace", "key").agg(F.max_by("value", "seq").alias("value"))
+        return rows.groupBy("namespace", "key").agg(F.max_by("value", F.struct("seq", "value")).alias("value"))
 
-    def upsert(self, rows: DataFrame, seq: int) -> None:
+    def upsert(self, rows: DataFrame, seq: int | Column | None = None) -> None:
+        """Writes rows (namespace, key, value), later than all before unless ``seq`` tells; within one call the greatest value of a key counts."""
         try:
-            rows.select("namespace", "key", "value", F.lit(seq).cast("long").alias("seq")).write.mode("append").partitionBy("namespace").parquet(self.path)
+            if not isinstance(seq, Column):
+                seq = F.lit(time.time_ns() // 1000 if seq is None else seq)
+            rows.select("namespace", "key", "value", seq.cast("long").alias("seq")).write.mode("append").partitionBy("namespace").parquet(self.path)
         except Exception:  # noqa: BLE001
             return

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .links import first_by
@@ -13,17 +13,19 @@ def pop(frontier: DataFrame, n: int) -> DataFrame:
     return frontier.orderBy(F.desc("score"), F.asc("seq")).limit(n)
 
 
+def number(major: Column, minor: Column, after: int = 0) -> Column:
+    """Places in an order of two levels, as one number: ``minor`` stays under 2^20, what ``after`` counts (waves) goes before all."""
+    return (F.lit(after << 44) + (major.cast("long") * F.lit(1 << 20)) + minor.cast("long")).cast("long")
+
+
 def push(offers: DataFrame, known: DataFrame, order: list[str], after: int = 0) -> DataFrame:
     """The offers (canon, url, score, source, order...) that aren't known, each canonical URL as first offered, numbered on from ``after``.
 
-    The number of new rows of each block of the order comes from a small count, so the numbering doesn't gather all rows in one task.
+    Only the order of the numbers counts, so they are made of the order's one or two columns and no row waits for another.
     """
     fresh = first_by(offers.join(known.select("canon"), "canon", "left_anti"), ["canon"], [F.asc(c) for c in order])
-    head = order[0]
-    base = fresh.groupBy(head).agg(F.count(F.lit(1)).alias("__n"))
-    base = base.select(head, F.coalesce(F.sum("__n").over(Window.orderBy(head).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    number = F.row_number().over(Window.partitionBy(head).orderBy(*order[1:] or [head]))
-    return fresh.join(base, head).withColumn("seq", (F.lit(after) + F.col("__base") + number).cast("long")).select("canon", "url", "score", "seq", "source")
+    minor = F.col(order[1]) if len(order) > 1 else F.lit(0)
+    return fresh.withColumn("seq", number(F.col(order[0]), minor, after)).select("canon", "url", "score", "seq", "source")
 
 
 def fold(outcomes: DataFrame, resolved: DataFrame | None = None) -> DataFrame:

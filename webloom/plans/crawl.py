@@ -1,14 +1,15 @@
 """The wave loop: a best-first traversal as relational steps, one materialised table of outcomes for each wave.
 
-The driver holds what the settings bound (seeds, allowed domains, the pages that the budget admits); frontier, known
-URLs, links, host memo and cache are tables. Each wave cuts lineage by writing its outcomes and its new frontier to the
-shared folder.
+The driver holds what the settings bound (seeds, allowed domains, the pages that the budget admits and the links that were
+refused on them); frontier, known URLs, links, host memo and cache are tables. Each wave cuts lineage by writing its outcomes
+and its new frontier to the shared folder, and needs two jobs besides: what the driver holds of it, and the refused links.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 from webloom.functions import html, text, urls
 from webloom.operators import cache as kv
 from webloom.operators import consolidate, frontier, hostmemo, links, outline, recovery, usage
-from webloom.providers.base import Provider, RuleProvider, get_provider
+from webloom.providers.base import Provider, get_provider
 from webloom.session import saved
 from webloom.settings import Settings
 from webloom.sources import web as source
+from webloom.sources.http import Live
 
 from .result import AuditLog, CrawlResult, Usage, Verdict
 
@@ -36,11 +38,44 @@ class Web:
     candidates: DataFrame | None = None
     robots: DataFrame | None = None
     robots_escalated: DataFrame | None = None
+    captures: DataFrame | None = None
+
+
+@dataclass
+class LiveWeb:
+    """The live web in the place of the tables: each wave's answers, rules and candidates are asked for and written."""
+
+    live: Live
+    known_robots: DataFrame | None = None
+
+    def rules(self, spark: SparkSession, wanted: DataFrame) -> DataFrame:
+        """The rules of the origins of the column ``wanted``, each origin asked once."""
+        origins = wanted.select(urls.origin(F.col(wanted.columns[0])).alias("origin")).where("origin <> ''").distinct()
+        if self.known_robots is not None:
+            origins = origins.join(self.known_robots.select("origin"), "origin", "left_anti")
+        new = saved(self.live.robots(origins), "robots")
+        self.known_robots = new if self.known_robots is None else self.known_robots.union(new)
+        return source.policies(self.known_robots)
+
+    def tables(self, wanted: DataFrame, has_routes: bool) -> Web:
+        """The answers to the column of URLs as the tables of a web."""
+        got = saved(self.live.answers(wanted), "answers")
+        pages = got.select(F.col("resolved").alias("url"), "status", "content_type", "body", "error", "failed").dropDuplicates(["url"])
+        lost = got.where(F.col("error").isNotNull() | ~recovery.usable(F.col("status"))).select(F.when(F.col("error").isNotNull(), F.col("url")).otherwise(F.col("resolved")).alias("url")).distinct()
+        return Web(pages, got.where("url <> resolved").select("url", "resolved"), saved(self.live.candidates(lost), "candidates") if has_routes else None)
 
 
 _DEFAULT = object()
 
 
+def _schema_text(schema) -> str:
+    """All of a schema, so that any change of it, of a limit or a default too, makes old answers another version's."""
+    try:
+        return json.dumps(outline.json_schema(schema), sort_keys=True)
+    except Exception:  # noqa: BLE001 - what can't be rendered is told by its text
+        return repr(schema)
+
+
 class Crawler:
     """Goal-directed traversal and one extraction over the pages that match."""
 
@@ -68,16 +103,16 @@ class Crawler:
         self.settings = (settings or Settings()).with_(
             normalize=normalize_html, prefer_seed_domain=prefer_seed_domain, user_agent=user_agent, respect_robots=respect_robots, robots_overrides=robots_overrides, log_file=log_file
         )
-        self.provider = provider or (RuleProvider() if self.settings.provider == "rule" else get_provider(self.settings.provider))
+        self.provider = provider or get_provider(self.settings.provider, self.settings)
         self.allowed = None if allowed_domains is None else urls.domain_keys(allowed_domains)
         self.widen = allow_seed_redirect_domains
         self.text_filters = tuple(text_filters or ())
         self._cache = cache
         self.log = AuditLog(self.settings.log_file)
         self.outline = outline.outline_or_json(schema)
-        self.version = kv.version_stamp(normalize=self.settings.normalize, schema_json=self.outline, criteria=criteria, **{k: getattr(self.provider, k) for k in ("prompt_signature", "model_extract", "model_screen")})
+        self.version = kv.version_stamp(normalize=self.settings.normalize, schema_json=_schema_text(schema), criteria=criteria, **{k: getattr(self.provider, k) for k in ("prompt_signature", "model_extract", "model_screen")})
 
-    def extract(self, spark: SparkSession, web: Web, seeds: str | Iterable[str], max_fetches=None, *, seed_is_content=None) -> CrawlResult:
+    def extract(self, spark: SparkSession, web: Web | LiveWeb, seeds: str | Iterable[str], max_fetches=None, *, seed_is_content=None) -> CrawlResult:
         s = self.settings
         seeds = list([seeds] if isinstance(seeds, str) else seeds)
         if len(seeds) == 0:
@@ -88,70 +123,110 @@ class Crawler:
         seed_domains = sorted({d for d in (urls.registrable(urls.urlsplit(u).hostname) for u in seeds) if d})
         allowed = None if self.allowed is None else set(self.allowed) | set(urls.domain_keys(seeds))
         overrides = sorted(urls.split_domains(s.robots_overrides))
-        policies = source.policies(web.robots, web.robots_escalated) if s.respect_robots and web.robots is not None else None
-        has_routes = web.candidates is not None and recovery.routes(f"impersonate,{s.fetch_fallbacks}")
-
-        rows = [(u, i) for i, u in enumerate(seeds)]
-        offers = spark.createDataFrame(rows, "url string, pos long").select(urls.canonical(F.col("url")).alias("canon"), "url", F.lit(float("inf")).alias("score"), F.lit(None).cast("string").alias("source"), "pos")
-        nothing = spark.createDataFrame([], "canon string")
-        ahead = saved(frontier.push(offers, nothing, ["pos"]), "frontier")
-        known = ahead.select("canon")
-        seed_canon = [r["canon"] for r in ahead.select("canon").collect()]
-        landed, memo = set(), None
-        path, verdicts, fallbacks, fetched, seq, waves = [], [], {}, 0, len(seeds), []
+        configured = recovery.routes(s.fetch_fallbacks)
+        policies = None
+        if isinstance(web, LiveWeb):
+            has_routes = bool(configured)
+        else:
+            policies = source.policies(web.robots, web.robots_escalated) if s.respect_robots and web.robots is not None else None
+            routes = source.routed(web.candidates, web.captures, configured, s.impersonate, sorted(urls.split_domains(s.impersonate_domains)), s.wayback_max_age_days)
+            web, has_routes = replace(web, candidates=routes), routes is not None
+
+        # the seeds, each canonical URL once, are a table that the driver makes
+        rows = spark.createDataFrame([(u, i) for i, u in enumerate(seeds)], "url string, pos long").select(urls.canonical(F.col("url")).alias("canon"), "url", "pos").collect()
+        first: dict = {}
+        for r in rows:
+            first.setdefault(r["canon"], (r["canon"], r["url"], float("inf"), r["pos"], None))
+        ahead = spark.createDataFrame(list(first.values()), "canon string, url string, score double, seq long, source string")
+        known, seed_canon = ahead.select("canon"), list(first)
+        landed, memo, refused = set(), None, set()
+        path, verdicts, fallbacks, fetched, waves = [], [], {}, 0, []
 
         while fetched < budget:
             batch = frontier.pop(ahead, min(max(1, s.max_workers), budget - fetched))
             batch = batch.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "seq")))  # a batch's few rows
-            outcomes = saved(self._outcomes(batch, web, known, policies, overrides, memo, store, seed_domains, direct, bool(has_routes)), "wave")
-            light = outcomes.select("pos", "canon_asked", "url", "resolved", "canon", "skipped_by_policy", "kind", "via", "verdict").orderBy("pos").collect()
+            outcomes = saved(self._outcomes(batch, web, known, policies, overrides, memo, store, seed_domains, seeds[0], direct, has_routes), "wave")
+            light = sorted(outcomes.select("pos", "canon_asked", "url", "resolved", "canon", "skipped_by_policy", "kind", "via", "verdict", "error", "failed_url", "status_given", "written_off", "usage", "hit").collect())
             if not light:
                 break
             if allowed is not None and self.widen:
                 allowed |= {d for d in (urls.domain_key(r["resolved"]) for r in light if r["canon_asked"] in seed_canon and not r["skipped_by_policy"] and r["kind"] in ("html", "pdf")) if d}
             kept_pos = []
             for r in light:
+                self._tell(r)
                 if r["skipped_by_policy"]:
-                    self.log(f"    [robots] {r['url']}")
-                elif r["canon"] not in landed:  # of several that land on one page the first in batch order counts
+                    continue
+                if r["canon"] in landed:
+                    self.log(f"    [dedup] {r['url']} → already seen {r['resolved']}")
+                else:  # of several that land on one page the first in batch order counts
                     landed.add(r["canon"])
                     kept_pos.append(r["pos"])
                     path.append(r["resolved"])
                     if r["via"]:
                         fallbacks[r["resolved"]] = r["via"]
                     fetched += r["kind"] in ("html", "pdf")
-                    if r["verdict"] is not None:
+                    if r["verdict"] is not None and r["verdict"]["match"] is not None:
                         verdicts.append(Verdict(r["resolved"], r["verdict"]["match"], r["verdict"]["reason"]))
             kept = outcomes.where(F.col("pos").isin(kept_pos))
-            waves.append(kept.withColumn("wave", F.lit(len(waves))))
+            waves.append(outcomes.withColumn("wave", F.lit(len(waves))).withColumn("kept", F.col("pos").isin(kept_pos)))
             if has_routes and s.transport_memo_failures > 0:
-                hosts = outcomes.where("NOT skipped_by_policy").select(F.explode(F.array_distinct(F.array(urls.domain_of(F.col("url")), urls.domain_of(F.col("resolved"))))).alias("domain"), recovery.is_silence(F.col("error")).alias("silent"))
+                # silence is told of the host that failed, an answer of both ends of a redirect
+                silent = recovery.is_silence(F.col("error"))
+                spoke = F.when(silent, F.array(urls.domain_of(F.col("failed_url")))).when(F.col("error").isNull(), F.array_distinct(F.array(urls.domain_of(F.col("url")), urls.domain_of(F.col("resolved")))))
+                hosts = outcomes.where("NOT skipped_by_policy").select(F.explode(spoke).alias("domain"), silent.alias("silent"))
                 memo = saved(hostmemo.merge(memo, hostmemo.memo(hosts.where("domain <> ''"), "domain", F.col("silent"), 0).drop("written_off")), "memo")
             offered = kept.select(F.col("resolved").alias("source"), "pos", F.posexplode("scored").alias("link_pos", "l")).select("source", "pos", "link_pos", F.col("l.url").alias("url"), F.col("l.score").alias("score"))
             if allowed is not None:
                 gate = spark.createDataFrame([(d,) for d in sorted(allowed)], "domain string")
-                for r in links.blocked_once(offered, gate, "url").collect() if s.log_file else ():
-                    self.log(f"    [boundary] {r['url']}")
+                for r in links.blocked_once(offered, gate, "url").collect():  # links of the wave's pages
+                    if r["url"] not in refused:
+                        refused.add(r["url"])
+                        self.log(f"    [blocked] {r['url']}")
                 offered = links.within(offered, gate, "url")
             offered = offered.withColumn("canon", urls.canonical(F.col("url")))
-            new = saved(frontier.push(offered, known, ["pos", "link_pos"], seq), "push")
-            seq = new.agg(F.max("seq")).first()[0] or seq
-            # all that was popped was pushed before, so it is known already
+            # what a page was landed on is visited too, whatever address led there
+            known = known.union(outcomes.where("NOT skipped_by_policy").select("canon"))
+            new = saved(frontier.push(offered, known, ["pos", "link_pos"], len(waves)), "push")
             known = known.union(new.select("canon"))
-            ahead = ahead.join(outcomes.select(F.col("canon_asked").alias("canon")), "canon", "left_anti").select(*new.columns).union(new)
+            gone = outcomes.select(F.explode(F.array("canon_asked", "canon")).alias("canon"))
+            ahead = ahead.join(gone, "canon", "left_anti").select(*new.columns).union(new)
             if len(waves) % COMPACT == 0:  # else both are unions of the waves' tables
-                ahead, known = saved(ahead, "frontier"), saved(known, "known")
+                ahead, known = saved(ahead, "frontier"), saved(known.distinct(), "known")
         return self._result(spark, waves, store, path, verdicts, fallbacks, fetched, direct)
 
-    def _outcomes(self, batch, web, known, policies, overrides, memo, store, seed_domains, direct, has_routes) -> DataFrame:
+    def _tell(self, r) -> None:
+        """The log lines of one outcome."""
+        if r["skipped_by_policy"]:
+            return self.log(f"    [robots] {r['url']}")
+        if r["written_off"]:
+            self.log(f"    [transport-memo] skipping the default transport for {r['url']}" if r["via"] else f"    [transport-memo] no route could read {r['url']}, so its origin was asked")
+        if r["error"] and not (r["written_off"] and r["via"]):
+            self.log(f"    [transport] {r['error']} on {r['failed_url']}")
+        elif r["status_given"] is not None and not 200 <= r["status_given"] < 300:
+            self.log(f"    [status] {r['status_given']} on {r['resolved']}")
+        if r["via"]:
+            self.log(f"    [fallback] {r['resolved']} by {r['via']}")
+        for u in r["usage"]:
+            tokens = f"tok_in={u['input_tokens']}" + (f"(cached {u['cached_input_tokens']})" if u["cached_input_tokens"] else "") + f" tok_out={u['output_tokens']}"
+            self.log(f"    [llm {u['function']}] model={u['model']} in_chars={u['in_chars']} elapsed={u['elapsed']:.2f}s {tokens} {'FAIL:' + u['error'] if u['error'] else 'ok'}")
+
+    def _outcomes(self, batch, web, known, policies, overrides, memo, store, seed_domains, seed, direct, has_routes) -> DataFrame:
         """What each URL of a wave gives: fetched, gated, read, screened, its unknown links scored."""
         s = self.settings
+        live = web if isinstance(web, LiveWeb) else None
+        if live is not None:
+            batch = saved(batch, "batch")
+            policies = live.rules(batch.sparkSession, batch.select("url")) if s.respect_robots else None
         rows = batch.withColumn("canon_asked", F.col("canon")).drop("canon")
         rows = source.allowed(rows, policies, s.user_agent, "url", overrides) if policies is not None else rows.withColumn("allow", F.lit(True))
         off = None
         if memo is not None and has_routes:
             off = memo.where(f"NOT answered AND n_silent >= {s.transport_memo_failures}").select("domain")
+        if live is not None:
+            web = live.tables(rows.where("allow").select("url"), has_routes)
         got = source.fetch(rows.where("allow"), web.pages, web.redirects, web.candidates if has_routes else None, off, s.follow_pdf, s.min_recovered_text_chars)
+        if live is not None and policies is not None:
+            policies = live.rules(batch.sparkSession, web.pages.select("url"))
         if policies is not None:
             got = source.allowed(got, policies, s.user_agent, "resolved", overrides, "allow")
             got = got.withColumn("allow", F.col("allow") | (urls.canonical(F.col("resolved")) == F.col("canon_asked")))
@@ -167,8 +242,12 @@ class Crawler:
         else:
             got = got.withColumn("cached", kv.from_value(F.lit(None).cast("string")))
         fresh = F.col("cached").isNull() & F.col("md").isNotNull()
-        seed_flag = links.seed_flag(F.col("resolved"), seed_domains) if s.prefer_seed_domain else None
-        screen = F.struct(F.lit(True).alias("match"), F.lit("seed is content").alias("reason")) if direct else self.provider.screen(F.col("md"), self.criteria, F.col("resolved"), seed_flag)
+        told = lambda url: text.yes_no(links.seed_flag(url, seed_domains)) if s.prefer_seed_domain else None
+        if direct:
+            screen = F.struct(F.lit(True).alias("match"), F.lit("seed is content").alias("reason"))
+        else:
+            got = got.withColumn("screened", F.when(fresh, self.provider.screen(F.when(fresh, F.col("md")), self.criteria, F.col("resolved"), told(F.col("resolved")), seed)))
+            screen = F.when(F.col("screened.match").isNotNull(), F.struct("screened.match", "screened.reason"))
         replayed = F.struct(F.col("cached.screen_match").alias("match"), F.col("cached.screen_reason").alias("reason"))
         got = got.withColumn("verdict", F.when(F.col("cached").isNotNull(), replayed).when(fresh, screen))
         # the links: not in direct mode, not of a page whose screening failed, not those that are known
@@ -182,17 +261,23 @@ class Crawler:
         fresh_links = fresh_links.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("link_pos", "anchor", F.col("link").alias("url")))).alias("__fresh"))
         got = got.join(fresh_links, "pos", "left")
         asked = F.transform("__fresh", lambda x: F.struct(x["anchor"].alias("anchor"), x["url"].alias("url")))
-        got = got.withColumn("asked", asked).withColumn("given", F.when(F.col("cached").isNull(), self.provider.score(F.col("asked"), F.col("md"), self.criteria)))
-        live = F.transform(F.arrays_zip("asked", "given"), lambda x: F.struct(x["asked"]["url"].alias("url"), text.clamp(x["given"]).alias("score")))
+        got = got.withColumn("asked", asked)
+        flags = F.transform("asked", lambda x: told(x["url"])) if s.prefer_seed_domain else None
+        unscored = F.when(F.col("cached").isNull(), F.col("asked"))
+        called = self.provider.score(unscored, F.col("md"), self.criteria, flags, seed)
+        got = got.withColumn("called", F.when(unscored.isNotNull(), called)).withColumn("given", F.col("called.scores"))
+        scored = F.transform(F.arrays_zip("asked", "given"), lambda x: F.struct(x["asked"]["url"].alias("url"), text.clamp(x["given"]).alias("score")))
         old = F.filter("cached.link_scores", lambda x: F.exists("asked", lambda y: y["url"] == x["url"]))
         none = F.array().cast("array<struct<url: string, score: double>>")
         failed = F.col("asked").isNotNull() & F.col("given").isNull() & F.col("cached").isNull()
-        got = got.withColumn("scored", F.when(failed, none).otherwise(F.coalesce(old, live, none)))
-        calls = F.when(fresh & F.lit(not direct), F.struct(F.lit("screen").alias("function"), self.provider.tokens_in(F.substring("md", 1, 16_000)).alias("input_tokens")))
-        scoring = F.when(F.col("given").isNotNull(), F.struct(F.lit("score_links").alias("function"), self.provider.tokens_in(F.substring("md", 1, 4_000)).alias("input_tokens")))
-        got = got.withColumn("usage", F.array_compact(F.array(calls, scoring)))
-        out = got.select("pos", "canon_asked", "url", "score", "resolved", "canon", "skipped_by_policy", "kind", "via", "error", "md", "cache_key", "verdict", "scored", "usage", F.col("cached").isNotNull().alias("hit"), failed.alias("failed"))
-        return out
+        got = got.withColumn("scored", F.when(failed, none).otherwise(F.coalesce(old, scored, none)))
+        used = lambda name, column: F.when(F.col(column).isNotNull(), F.struct(F.lit(name).alias("function"), f"{column}.usage.*"))
+        calls = [used("score_links", "called")] if direct else [used("screen", "screened"), used("score_links", "called")]
+        got = got.withColumn("usage", F.array_compact(F.array(*calls)))
+        return got.select(
+            "pos", "canon_asked", "url", "score", "resolved", "canon", "skipped_by_policy", "kind", "via", "error", F.col("failed").alias("failed_url"), "status_given", F.coalesce("off", F.lit(False)).alias("written_off"),
+            "md", "cache_key", "verdict", "scored", "usage", F.col("cached").isNotNull().alias("hit"), failed.alias("failed"),
+        )
 
     def _result(self, spark, waves, store, path, verdicts, fallbacks, fetched, direct) -> CrawlResult:
         s, provider = self.settings, self.provider
@@ -204,36 +289,41 @@ class Crawler:
             every = every.unionByName(w)
         every = saved(every, "outcomes")
         if store is not None:
-            new = every.where("NOT hit AND NOT failed AND verdict IS NOT NULL").select(F.lit("page").alias("namespace"), F.col("cache_key").alias("key"), kv.to_value(F.col("verdict.match"), F.col("verdict.reason"), F.col("scored")).alias("value"))
-            store.upsert(new, 0)
-        events = every.select(F.explode("usage").alias("u")).select(
-            "u.function", F.lit(provider.model_screen).alias("model"), F.lit(0).alias("seq"), "u.input_tokens", F.lit(0).alias("output_tokens"), F.lit(1).alias("calls"), F.lit(0).alias("cached_input_tokens")
-        )
+            new = every.where("kept AND NOT hit AND NOT failed AND verdict IS NOT NULL").select(F.lit("page").alias("namespace"), F.col("cache_key").alias("key"), kv.to_value(F.col("verdict.match"), F.col("verdict.reason"), F.col("scored")).alias("value"))
+            store.upsert(new)
+        # every call is billed, of pages too that were dropped afterwards
+        events = every.select("wave", "pos", F.explode("usage").alias("u")).select("u.*", F.lit(1).alias("calls"), F.struct("wave", "pos").alias("seq"))
         for r in usage.by_function(events).collect():
             result.usage_by_function[r["function"]] = Usage(**{f: r[f] for f in Usage.__dataclass_fields__})
             result.function_model[r["function"]] = r["model"]
-        matched = every.where("verdict.match").select("canon", F.col("resolved").alias("url"), "md", "cache_key")
+
+        def bill(function: str, model: str, used: Usage) -> None:
+            result.usage_by_function[function] = result.usage_by_function.get(function, Usage()) + used
+            result.function_model[function] = model
+
+        matched = every.where("kept AND verdict.match").select("canon", F.col("resolved").alias("url"), "md", "cache_key")
         count = matched.agg(F.count(F.lit(1)).alias("n"), kv.set_fingerprint(F.col("cache_key")).alias("key")).first()
         if not count["n"]:
             return result
         key = f"{self.version}:{s.max_context_tokens}:{int(s.always_summarize)}:{s.tiktoken_encoding}:{count['key']}"
-        import json
-
         hit = store.table().where((F.col("namespace") == "extract") & (F.col("key") == key)).first() if store is not None else None
         if hit is not None:
             saved_result = json.loads(hit["value"])
         else:
             try:
-                fit = consolidate.fit_pages(matched, provider, self.criteria, s.max_context_tokens, s.always_summarize, self.outline)
-                data = provider.extract(fit.text, outline.json_schema(self.schema))
+                fit = consolidate.fit_pages(matched, consolidate.Fit(provider, self.criteria, s.max_context_tokens, s.always_summarize, self.outline, provider.model_extract, s.tiktoken_encoding, store, self.version))
+                for r in fit.usage:
+                    bill("summarize", r["model"], Usage(r["calls"], r["input_tokens"], r["cached_input_tokens"], r["output_tokens"]))
+                call = provider.extract(fit.text, outline.json_schema(self.schema))
+                bill("extract", provider.model_extract, Usage(1, call.input_tokens, call.cached_input_tokens, call.output_tokens))
+                if call.error:
+                    raise RuntimeError(call.error)
             except Exception as e:  # noqa: BLE001 - a failed stage ends in no data, not in an error
                 self.log(f"    ! no extraction: {e!r}")
                 return result
-            saved_result = {"data": data, "content_tokens": fit.content_tokens, "extraction_input_tokens": fit.input_tokens, "summarized": fit.summarized}
-            result.usage_by_function["extract"] = Usage(calls=1, input_tokens=fit.input_tokens)
-            result.function_model["extract"] = provider.model_extract
-            if store is not None and data is not None:
-                store.upsert(spark.createDataFrame([("extract", key, json.dumps(saved_result))], "namespace string, key string, value string"), 0)
+            saved_result = {"data": call.value, "content_tokens": fit.content_tokens, "extraction_input_tokens": fit.input_tokens, "summarized": fit.summarized}
+            if store is not None and call.value is not None:
+                store.upsert(spark.createDataFrame([("extract", key, json.dumps(saved_result))], "namespace string, key string, value string"))
         if saved_result["data"] is not None:
             result.stopped_reason = "match"
         for k, v in saved_result.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -16,17 +17,34 @@ def get_spark(name: str = "webloom", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a fresh one for Spark in this process, an error on a cluster."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and outlives any executor."""
+    """``df`` as a table in the shared folder: cuts lineage and outlives any executor; removed when Python ends."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    _written.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove_written() -> None:
+    for spark, path in _written:
+        try:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001 - the session is gone; so is the need
+            return

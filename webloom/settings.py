@@ -10,6 +10,9 @@ from pathlib import Path
 @dataclass(frozen=True)
 class Settings:
     provider: str = "rule"
+    provider_url: str = ""
+    provider_key: str = ""
+    service_tier: str = ""
     model_screen: str = "rule-screen"
     model_extract: str = "rule-extract"
     normalize: bool = True
@@ -20,6 +23,9 @@ class Settings:
     jina_return_format: str = "html"
     wayback_max_age_days: int = 0
     min_recovered_text_chars: int = 200
+    reader_url: str = ""
+    capture_index_url: str = ""
+    capture_url: str = ""
     impersonate: str = ""
     impersonate_domains: str = ""
     max_fetches: int = 10
@@ -59,5 +65,13 @@ def from_environment(env: dict | None = None, dotenv: str | None = ".env") -> Se
 
 
 def attempts(error: str, limit: int) -> int:
-    """How often a request is tried: timeouts of reading at most twice, however high the limit."""
-    return min(limit, 2) if error == "ReadTimeout" else limit
+    """How often a request is tried: once at least, timeouts of reading at most twice, however high the limit."""
+    return min(max(1, limit), 2) if error == "ReadTimeout" else max(1, limit)
+
+
+def attempts_column(error, limit):
+    """``attempts`` of columns."""
+    from pyspark.sql import functions as F
+
+    most = F.greatest(F.lit(1), limit)
+    return F.when(error == "ReadTimeout", F.least(most, F.lit(2))).otherwise(most)

@@ -1,6 +1,7 @@
 """The web as tables, and fetching as joins.
 
-web(url, status, content_type, body, error): what each URL answers; error names a transport failure.
+web(url, status, content_type, body, error): what each URL answers; error names a transport failure, and a column failed,
+if there is one, the address that failed.
 redirects(url, resolved), captures(url, stamp, status, body, content_type),
 candidates(url, route, route_pos, body, content_type, via), robots(origin, status, content_type, body).
 A URL that isn't there answers 404.
@@ -36,7 +37,7 @@ def policies(robots: DataFrame, escalated: DataFrame | None = None) -> DataFrame
     """origin, policy: the body of a usable robots.txt, else that of the second transport, else null (all is allowed)."""
 
     def read(df: DataFrame, name: str) -> DataFrame:
-        ok = (F.col("status") == 200) & text.looks_like_policy(F.col("content_type"), F.col("body"))
+        ok = recovery.usable(F.col("status")) & text.looks_like_policy(F.col("content_type"), F.col("body"))
         return df.select("origin", F.when(ok, F.col("body")).alias(name))
 
     first = read(robots, "policy")
@@ -56,6 +57,25 @@ def allowed(rows: DataFrame, robots: DataFrame, agent: str, url: str = "url", ov
     return joined.withColumn(name, ok).drop("__origin", "__policy")
 
 
+def routed(candidates: DataFrame | None, captures: DataFrame | None, configured: list[str], impersonate: str = "", scope: list[str] | None = None, max_age_days: int = 0) -> DataFrame | None:
+    """The candidates of the configured routes alone, in their order; the archive's also from ``captures``. None without any.
+
+    The impersonating route needs a target and keeps to the registrable domains of ``scope``, if that names any.
+    """
+    parts = []
+    if candidates is not None:
+        parts.append(candidates.select("url", "route", "body", "content_type", "via"))
+    if captures is not None:
+        newest = recovery.newest_capture(captures, max_age_days)
+        parts.append(newest.select("url", F.lit("wayback").alias("route"), "body", "content_type", "via"))
+    if not parts or not configured:
+        return None
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = rows.withColumn("route_pos", F.array_position(F.array(*map(F.lit, configured)), F.col("route")).cast("int")).where("route_pos > 0")
+    covered = F.lit(bool(impersonate)) & (urls.domain_of(F.col("url")).isin(*scope) if scope else F.lit(True))
+    return rows.where((F.col("route") != "impersonate") | covered)
+
+
 def fetch(
     rows: DataFrame,
     web: DataFrame,
@@ -66,7 +86,7 @@ def fetch(
     least_chars: int = 200,
     key: str = "url",
 ) -> DataFrame:
-    """rows with resolved, status, content_type, body, kind, via and error of the page that each ``key`` gives.
+    """rows with resolved, status, content_type, body, kind, via, error, failed (the address that failed), status_given and off (whether its host is written off) of the page that each ``key`` gives.
 
     What can't carry content is recovered from the best candidate: of the URL asked for after a transport failure,
     of the URL landed on after a bad status. A page of a host that is written off (``written_off(domain)``) is taken
@@ -77,8 +97,9 @@ def fetch(
         got = got.join(redirects.select(F.col("url").alias(key), "resolved"), key, "left").withColumn("resolved", F.coalesce("resolved", key))
     else:
         got = got.withColumn("resolved", F.col(key))
-    answer = web.select(F.col("url").alias("resolved"), "status", "content_type", "body", "error")
-    got = got.join(answer, "resolved", "left").withColumn("status", F.when(F.col("error").isNull(), F.coalesce("status", F.lit(404))))
+    failed = F.col("failed") if "failed" in web.columns else F.lit(None).cast("string")
+    answer = web.select(F.col("url").alias("resolved"), "status", "content_type", "body", "error", failed.alias("failed"))
+    got = got.join(answer, "resolved", "left").withColumn("failed", F.when(F.col("error").isNotNull(), F.coalesce(F.nullif("failed", F.lit("")), "resolved"))).withColumn("status", F.when(F.col("error").isNull(), F.coalesce("status", F.lit(404))))
     if written_off is not None:
         off = written_off.select(F.col("domain").alias("__domain"), F.lit(True).alias("__off"))
         got = got.withColumn("__domain", urls.domain_of(F.col(key))).join(off, "__domain", "left").drop("__domain")
@@ -98,7 +119,8 @@ def fetch(
     got = got.withColumn("__recovered", F.col("__best").isNotNull() & (off | ~good))
     recovered = F.col("__recovered")
     got = (
-        got.withColumn("__kind", recovery.kind(F.col("status"), F.col("content_type"), follow_pdf))
+        got.withColumn("status_given", F.col("status"))
+        .withColumn("__kind", recovery.kind(F.col("status"), F.col("content_type"), follow_pdf))
         .withColumn("kind", F.when(recovered, recovery.kind(F.lit(200), F.col("__best.content_type"), follow_pdf)).otherwise(F.col("__kind")))
         .withColumn("status", F.when(recovered, F.lit(200)).otherwise(F.col("status")))
         .withColumn("body", F.when(recovered, F.col("__best.body")).when(F.col("__kind").isin("error", "skipped"), F.lit("")).otherwise(F.col("body")))
@@ -106,4 +128,4 @@ def fetch(
         .withColumn("via", F.when(recovered, F.col("__best.via")))
         .withColumn("resolved", F.when(recovered, F.col("__asked")).otherwise(F.col("resolved")))
     )
-    return got.drop("__off", "__asked", "__best", "__recovered", "__kind")
+    return got.withColumn("off", off).drop("__off", "__asked", "__best", "__recovered", "__kind")
