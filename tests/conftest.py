@@ -25,11 +25,12 @@ def spark():
 @pytest.fixture
 def site(spark):
     """A web of pages (url -> html, or (status, html)); what isn't there answers 404."""
+    from webloom.session import local_table
     from webloom.sources.web import WEB
 
     def build(pages, errors=None):
         rows = [(u, *(v if isinstance(v, tuple) else (200, v))) for u, v in pages.items()]
         data = [(u, s, "text/html", b, None) for u, s, b in rows] + [(u, None, None, None, e) for u, e in (errors or {}).items()]
-        return spark.createDataFrame(data, WEB)
+        return local_table(spark, data, WEB)
 
     return build

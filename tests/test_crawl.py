@@ -15,7 +15,8 @@ def provider(screen=lambda t, c: (True, "r"), score=lambda ls, t, c: [(u, 0.9) f
     return FunctionProvider(screen, score, extract=lambda text, schema: {"sources": [x[12:] for x in text.split("\n") if x.startswith("--- SOURCE")]})
 
 
-def crawl(spark, tables, seeds=SEED, fetches=None, direct=None, settings=Settings(max_workers=1), **kw):
+def crawl(spark, tables, seeds=SEED, fetches=None, direct=None, settings=Settings(), **kw):
+    kw.setdefault("cache", None)
     kw.setdefault("provider", provider())
     return Crawler("sources array<string>", "goal", settings=settings, **kw).extract(spark, tables, seeds, fetches, seed_is_content=direct)
 
@@ -67,18 +68,30 @@ def test_budget_and_unreadable_pages(spark, site):
 def test_best_first_and_first_score_wins(spark, site):
     score = lambda ls, t, c: [(u, {"/low": 0.1, "/high": 0.8}.get(u[len(SEED) - 1 :], None)) for _, u in ls if "skip" not in u]
     tables = Web(site({SEED: page("/low", "/high", "/skip"), SEED + "low": page(), SEED + "high": page("/low"), SEED + "skip": page()}))
-    assert crawl(spark, tables, provider=provider(score=score)).path == [SEED, SEED + "high", SEED + "low", SEED + "skip"]
+    assert crawl(spark, tables, provider=provider(score=score), settings=Settings(max_workers=1)).path == [SEED, SEED + "high", SEED + "low", SEED + "skip"]
 
 
-def test_duplicate_landing_is_dropped(spark, site):
+def test_duplicate_landing_is_dropped(spark, site, capsys):
     tables = Web(site({SEED: page("/a", "/b"), SEED + "b": page()}), spark.createDataFrame([(SEED + "a", SEED + "b")], "url string, resolved string"))
     r = crawl(spark, tables)
     assert r.path == [SEED, SEED + "b"] and r.pages_fetched == 2
+    assert r.usage_by_function["screen"].calls == 3  # the dropped page's call was made, so it is billed
+    assert f"[dedup] {SEED}b → already seen {SEED}b" in capsys.readouterr().err
+
+
+def test_a_landing_page_is_visited(spark, site, capsys):
+    """/from lands on /to, which links to itself: it isn't asked for again. Refused links are told once, by every page that has them."""
+    off = "http://other.org/x"
+    tables = Web(site({SEED: page("/from", off), SEED + "to": page("/to", "/next", off), SEED + "next": page("/to", off)}), spark.createDataFrame([(SEED + "from", SEED + "to")], "url string, resolved string"))
+    r = crawl(spark, tables, allowed_domains=[])
+    assert r.path == [SEED, SEED + "to", SEED + "next"]
+    said = capsys.readouterr().err
+    assert said.count(f"[blocked] {off}") == 1 and "[dedup]" not in said and said.count("[llm screen]") == 3
 
 
 def test_robots(spark, site):
     tables = Web(site({SEED: page("/no", "/hop"), SEED + "no": page(), "http://www.site.com/no2": page()}), spark.createDataFrame([(SEED + "hop", SEED + "no2")], "url string, resolved string"),
-                 robots=spark.createDataFrame([("http://www.site.com", 200, "text/plain", "User-agent: *\nDisallow: /no")], "origin string, status int, content_type string, body string"))
+                 robots=spark.createDataFrame([("http://www.site.com", 203, "text/plain", "User-agent: *\nDisallow: /no")], "origin string, status int, content_type string, body string"))
     assert crawl(spark, tables, respect_robots=True).path == [SEED]
     assert len(crawl(spark, tables).path) == 3
     assert len(crawl(spark, tables, respect_robots=True, robots_overrides="site.com").path) == 3
@@ -89,6 +102,29 @@ def test_recovery_is_told(spark, site):
     tables = Web(site({SEED: (403, "no"), SEED + "x": page()}), candidates=spark.createDataFrame([(SEED, "jina", 0, copy, "text/html", "jina")], web.CANDIDATES))
     r = crawl(spark, tables)
     assert r.path == [SEED, SEED + "x"] and r.fallbacks_used == {SEED: "jina"}
+    assert crawl(spark, tables, settings=Settings(fetch_fallbacks="wayback")).path == [SEED]  # a route that isn't configured isn't taken
+
+
+def test_routes_are_those_of_the_settings(spark):
+    c = spark.createDataFrame([("http://a.com/", r, 9, r, "text/html", r) for r in ("jina", "impersonate", "wayback")] + [("http://b.com/", "impersonate", 9, "x", "text/html", "x")], web.CANDIDATES)
+    old = spark.createDataFrame([("http://c.com/", "20200101000000", 200, "old", "text/html")], "url string, stamp string, status int, body string, content_type string")
+    of = lambda *a, **k: {(r["url"][7:8], r["route"]): r["route_pos"] for r in web.routed(c, old, *a, **k).collect()}
+    assert of(["wayback", "jina"]) == {("a", "wayback"): 1, ("a", "jina"): 2, ("c", "wayback"): 1}
+    assert of(["jina", "impersonate"], "chrome") == {("a", "jina"): 1, ("a", "impersonate"): 2, ("b", "impersonate"): 2}
+    assert of(["impersonate"], "chrome", ["b.com"]) == {("b", "impersonate"): 1} and of(["impersonate"]) == {}
+    assert of(["wayback"], max_age_days=30) == {("a", "wayback"): 1}
+    assert web.routed(None, None, ["jina"]) is None and web.routed(c, None, []) is None
+
+
+def test_versions_and_flags(spark, site):
+    """A limit in the schema makes another version; the provider is told which pages and links are on the seed's domain."""
+    a, b = ({"properties": {"n": {"type": "integer", "maximum": m}}} for m in (5, 6))
+    assert Crawler(a, "c").version == Crawler(dict(a), "c").version != Crawler(b, "c").version and Crawler(a, "c").outline == Crawler(b, "c").outline
+    told = lambda text, goal, on_seed=None: (True, on_seed)
+    score = lambda ls, t, c, on_seeds=None: [(u, {"yes": 0.9, "no": 0.2}[f]) for (_, u), f in zip(ls, on_seeds)]
+    tables = Web(site({SEED: page("http://other.org/b", "/a"), "http://other.org/b": page(), SEED + "a": page()}))
+    r = crawl(spark, tables, provider=provider(told, score), prefer_seed_domain=True)
+    assert r.path == [SEED, SEED + "a", "http://other.org/b"] and [v.reason for v in r.verdicts] == ["yes", "yes", "no"]
 
 
 def test_failed_stages_cost_their_page_only(spark, site):
@@ -119,4 +155,4 @@ def test_second_run_replays(spark, graph, tmp_path):
 
 
 def test_waves_in_parallel_give_the_same_pages(spark, graph):
-    assert set(crawl(spark, graph, settings=Settings(max_workers=8)).path) == set(crawl(spark, graph).path)
+    assert set(crawl(spark, graph, settings=Settings(max_workers=1)).path) == {SEED, "http://docs.site.com/a", "http://other.org/b", "http://portal.net/c"}

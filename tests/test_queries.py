@@ -4,7 +4,7 @@ import pytest
 from webloom import queries
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "documents pages conversations events".split()
+TABLES = "documents pages conversations events labels embeddings lineitem".split()
 
 
 @pytest.fixture(scope="module")

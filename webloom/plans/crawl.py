@@ -18,7 +18,7 @@ from webloom.functions import html, text, urls
 from webloom.operators import cache as kv
 from webloom.operators import consolidate, frontier, hostmemo, links, outline, recovery, usage
 from webloom.providers.base import Provider, get_provider
-from webloom.session import saved
+from webloom.session import local_table, saved
 from webloom.settings import Settings
 from webloom.sources import web as source
 from webloom.sources.http import Live
@@ -133,11 +133,11 @@ class Crawler:
             web, has_routes = replace(web, candidates=routes), routes is not None
 
         # the seeds, each canonical URL once, are a table that the driver makes
-        rows = spark.createDataFrame([(u, i) for i, u in enumerate(seeds)], "url string, pos long").select(urls.canonical(F.col("url")).alias("canon"), "url", "pos").collect()
+        rows = local_table(spark, [(u, i) for i, u in enumerate(seeds)], "url string, pos long").select(urls.canonical(F.col("url")).alias("canon"), "url", "pos").collect()
         first: dict = {}
         for r in rows:
             first.setdefault(r["canon"], (r["canon"], r["url"], float("inf"), r["pos"], None))
-        ahead = spark.createDataFrame(list(first.values()), "canon string, url string, score double, seq long, source string")
+        ahead = local_table(spark, list(first.values()), "canon string, url string, score double, seq long, source string")
         known, seed_canon = ahead.select("canon"), list(first)
         landed, memo, refused = set(), None, set()
         path, verdicts, fallbacks, fetched, waves = [], [], {}, 0, []
@@ -177,7 +177,7 @@ class Crawler:
                 memo = saved(hostmemo.merge(memo, hostmemo.memo(hosts.where("domain <> ''"), "domain", F.col("silent"), 0).drop("written_off")), "memo")
             offered = kept.select(F.col("resolved").alias("source"), "pos", F.posexplode("scored").alias("link_pos", "l")).select("source", "pos", "link_pos", F.col("l.url").alias("url"), F.col("l.score").alias("score"))
             if allowed is not None:
-                gate = spark.createDataFrame([(d,) for d in sorted(allowed)], "domain string")
+                gate = local_table(spark, [(d,) for d in sorted(allowed)], "domain string")
                 for r in links.blocked_once(offered, gate, "url").collect():  # links of the wave's pages
                     if r["url"] not in refused:
                         refused.add(r["url"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from webloom.functions import html, text, tokens, urls
 from webloom.operators import cache, consolidate, frontier, hostmemo, links, outline, recovery, usage
 from webloom.plans.crawl import Crawler, Web
 from webloom.providers.base import RuleProvider
-from webloom.settings import Settings
+from webloom.session import shared_dir
+from webloom.settings import Settings, attempts_column
 from webloom.sources import web
 
 ALLOWED = ("example.com", "example.org")
@@ -142,7 +145,7 @@ def frontier_topk(spark, sf_dir):
 
 @query(f"""WITH {_LINKS}, offers AS (SELECT {_sql_canon('link')} AS canon, link AS url, {_UNIT.format(u='link')} AS score, url AS source, page_id, pos FROM links),
 fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY page_id, pos) AS rn FROM offers WHERE canon NOT IN (SELECT {_sql_canon('url')} FROM pages)) WHERE rn = 1)
-SELECT canon, url, score, row_number() OVER (ORDER BY page_id, pos) AS seq, source FROM fresh""")
+SELECT canon, url, score, page_id * 1048576 + pos AS seq, source FROM fresh""")
 def frontier_push(spark, sf_dir):
     found = all_links(spark, sf_dir)
     offers = found.select(urls.canonical(F.col("link")).alias("canon"), F.col("link").alias("url"), unit(F.col("link")).alias("score"), F.col("url").alias("source"), "page_id", "pos")
@@ -178,18 +181,20 @@ def thin_content(spark, sf_dir):
     return pages(spark, sf_dir).where(text.is_substantial(F.col("html"), 1500)).select("page_id", "url")
 
 
-@query(f"""WITH p AS (SELECT page_id, url, replace(html, '&', ' ') AS html FROM pages), c AS (
-  SELECT url, 'impersonate' AS route, 0 AS route_pos, substr(html, 1, 600 + page_id % 900) AS body FROM p
-  UNION ALL SELECT url, 'jina', 1, substr(html, 1, 900 + page_id % 1300) FROM p
-  UNION ALL SELECT url, 'wayback', 2, substr(html, 1, 700 + page_id % 2000) FROM p),
-s AS (SELECT *, length({_VISIBLE.format(h='body')}) AS chars FROM c)
+#: What each route gives of a page: without its paragraphs, without its lists, all of it.
+_ROUTES = [("impersonate", r"(?s)<p>.*?</p>"), ("jina", r"(?s)<li>.*?</li>"), ("wayback", "^$")]
+
+
+@query(
+    "WITH c AS ("
+    + " UNION ALL ".join(f"SELECT url, '{r}' AS route, {i} AS route_pos, regexp_replace(html, '{cut}', '', 'g') AS body FROM pages" for i, (r, cut) in enumerate(_ROUTES))
+    + f"""), s AS (SELECT *, length({_VISIBLE.format(h='body')}) AS chars FROM c)
 SELECT url, coalesce(arg_min(route, route_pos) FILTER (chars >= 700), arg_max(route, chars * 10 - route_pos)) AS route,
-coalesce(arg_min(chars, route_pos) FILTER (chars >= 700), max(chars))::INT AS chars FROM s GROUP BY url""")
+coalesce(arg_min(chars, route_pos) FILTER (chars >= 700), max(chars))::INT AS chars FROM s GROUP BY url"""
+)
 def recovery_chain(spark, sf_dir):
-    p = pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("&"), F.lit(" ")))
-    each = [("impersonate", 0, 600, 900), ("jina", 1, 900, 1300), ("wayback", 2, 700, 2000)]
-    rows = F.explode(F.array(*[F.struct(F.lit(r).alias("route"), F.lit(i).alias("route_pos"), F.expr(f"substring(html, 1, {a} + cast(page_id % {b} AS int))").alias("body")) for r, i, a, b in each]))
-    candidates = p.select("url", rows.alias("c")).select("url", "c.*", F.lit("text/html").alias("content_type"), F.lit("").alias("via"))
+    each = F.array(*[F.struct(F.lit(r).alias("route"), F.lit(i).alias("route_pos"), F.regexp_replace("html", cut, "").alias("body")) for i, (r, cut) in enumerate(_ROUTES)])
+    candidates = pages(spark, sf_dir).select("url", F.explode(each).alias("c")).select("url", "c.*", F.lit("text/html").alias("content_type"), F.lit("").alias("via"))
     return recovery.best_candidate(candidates, 700).select("url", "route", "chars")
 
 
@@ -243,10 +248,14 @@ def cache_replay(spark, sf_dir):
     return out.select("doc_id", "cache_key", F.col("value").isNotNull().alias("hit"), F.coalesce(F.col("value").cast("long"), F.lit(-1)).alias("value"))
 
 
-@query("""SELECT conv_id, max_by(text, turn) AS value, count(*) AS writes FROM conversations GROUP BY 1""")
+@query("""SELECT 'conversation' AS namespace, conv_id::VARCHAR AS key, max_by(text, {'t': turn, 'x': text}) AS value FROM conversations GROUP BY 2""")
 def kv_upsert(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    return rows.groupBy("conv_id").agg(F.max_by("text", "turn").alias("value"), F.count(F.lit(1)).alias("writes"))
+    """Every turn written under its conversation's key, the later half first: the last turn is what the store has."""
+    store = cache.ParquetStore(spark, f"{shared_dir(spark)}/kv-{uuid.uuid4().hex}")
+    rows = table(spark, sf_dir, "conversations").select(F.lit("conversation").alias("namespace"), F.col("conv_id").cast("string").alias("key"), F.col("text").alias("value"), "turn")
+    for half in ("turn > 2", "turn <= 2 OR turn IS NULL"):
+        store.upsert(rows.where(half), F.col("turn"))
+    return store.table()
 
 
 _SCREEN_WORDS = ("contact", "policy", "privacy")
@@ -264,11 +273,24 @@ def screen_verdicts(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", verdict.alias("v")).select("page_id", "v.match", "v.reason")
 
 
+@query(
+    f"WITH {_LINKS} SELECT page_id, pos::INT AS pos, link, ("
+    + " + ".join(f"contains(lower(anchor || ' ' || link), '{w}')::INT" for w in _SCREEN_WORDS)
+    + ")::DOUBLE / 3 AS score FROM links"
+)
+def score_links(spark, sf_dir):
+    """All links of each page in one call of the provider, its scores aligned with them."""
+    found = pages(spark, sf_dir).withColumn("links", html.extract_links(F.col("html"), F.col("url")))
+    scored = found.withColumn("given", RuleProvider().score(F.col("links"), F.col("html"), CRITERION)["scores"])
+    each = scored.select("page_id", F.posexplode(F.arrays_zip("links", "given")).alias("pos", "x"))
+    return each.select("page_id", "pos", F.col("x.links.url").alias("link"), text.clamp(F.col("x.given")).alias("score"))
+
+
 @query(f"""WITH {_LINKS}, given AS (SELECT page_id, link, max_by(score, score_pos) AS score FROM (
 SELECT page_id, link, pos AS score_pos, {_UNIT.format(u='link')} * 3 - 1 AS score FROM links WHERE pos % 3 <> 0 UNION ALL
 SELECT page_id, link, 1000 + pos, {_UNIT.format(u='anchor')} FROM links WHERE pos % 5 = 1) GROUP BY 1, 2)
 SELECT page_id, pos::INT AS pos, link, CASE WHEN score IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, score)) END AS score FROM links LEFT JOIN given USING (page_id, link)""")
-def score_links(spark, sf_dir):
+def aligned_scores(spark, sf_dir):
     found = all_links(spark, sf_dir)
     first = found.where("pos % 3 <> 0").select("page_id", "link", F.col("pos").alias("score_pos"), (unit(F.col("link")) * 3 - 1).alias("score"))
     again = found.where("pos % 5 = 1").select("page_id", "link", (F.col("pos") + 1000).alias("score_pos"), unit(F.col("anchor")).alias("score"))
@@ -282,10 +304,27 @@ def md_to_html(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.markdown_to_html(md).alias("html"))
 
 
-@query(r"""SELECT doc_id, sha256(text || ' [mail](/cdn-cgi/l/email-protection)') AS digest FROM documents""")
+_NOTICE = "This field is for validation purposes and should be left unchanged."
+#: Of each filter what it must take out (with a part that differs from row to row), and what must stay around it.
+_VOLATILE = [
+    ("\n\n[mail](/cdn-cgi/l/email-protection", "#{x}", ")"),
+    ("\n[by](https://www.foundant.com", ' "at {x}"', ")"),
+    ("\n\n", "Name {x}\n\n", _NOTICE),
+    ("\nend", "\n## Related Guides & Reports\n\n* {x}\n* more", "\n[![](https://h/EREF-white-logo.svg)](/)"),
+    ("", "\n| | {p} |\n| --- | :-: |", "\nlast"),
+]
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("SELECT doc_id, sha256(text || " + " || ".join(_sql_text(before + after) for before, _, after in _VOLATILE) + ") AS digest FROM documents")
 def text_filters(spark, sf_dir):
-    rotating = F.concat(F.col("text"), F.lit(" [mail](/cdn-cgi/l/email-protection#"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 12), F.lit(")"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.content_hash(text.apply_filters(rotating, text.STABLE[:4])).alias("digest"))
+    x, pipes = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 12), F.repeat(F.lit("| "), (F.col("doc_id") % 4).cast("int"))
+    fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("{x}"), x), F.lit("{p}"), pipes)
+    volatile = F.concat(F.col("text"), *[fill(part) for parts in _VOLATILE for part in parts])
+    return table(spark, sf_dir, "documents").select("doc_id", text.content_hash(text.apply_filters(volatile, text.STABLE)).alias("digest"))
 
 
 @query(f"""SELECT {_DOMAIN.format(u='url')} AS domain, sha256(string_agg('--- SOURCE: ' || url || chr(10) || html, chr(10) || chr(10) ORDER BY {_sql_canon('url')}, '--- SOURCE: ' || url || chr(10) || html)) AS digest FROM pages GROUP BY 1""")
@@ -311,10 +350,11 @@ def usage_by_function(spark, sf_dir):
     return usage.by_function(_events(spark, sf_dir))
 
 
-@query(f"SELECT e.function, (e.input_tokens - coalesce(s.input_tokens, 0))::BIGINT AS input_tokens, (e.output_tokens - coalesce(s.output_tokens, 0))::BIGINT AS output_tokens, (e.calls - coalesce(s.calls, 0))::BIGINT AS calls, (e.cached_input_tokens - coalesce(s.cached_input_tokens, 0))::BIGINT AS cached_input_tokens, model FROM (SELECT role AS function, {_USAGE}, {_LAST} FROM conversations GROUP BY 1) e LEFT JOIN (SELECT role AS function, {_USAGE} FROM conversations WHERE conv_id < 20 GROUP BY 1) s ON e.function = s.function WHERE e.calls <> coalesce(s.calls, 0)")
+@query(f"SELECT e.function, (e.input_tokens - coalesce(s.input_tokens, 0))::BIGINT AS input_tokens, (e.output_tokens - coalesce(s.output_tokens, 0))::BIGINT AS output_tokens, (e.calls - coalesce(s.calls, 0))::BIGINT AS calls, (e.cached_input_tokens - coalesce(s.cached_input_tokens, 0))::BIGINT AS cached_input_tokens, model FROM (SELECT role AS function, {_USAGE}, {_LAST} FROM conversations GROUP BY 1) e LEFT JOIN (SELECT role AS function, {_USAGE} FROM conversations WHERE turn = 0 GROUP BY 1) s ON e.function = s.function WHERE e.calls <> coalesce(s.calls, 0)")
 def usage_delta(spark, sf_dir):
     events = _events(spark, sf_dir)
-    return usage.delta(usage.by_function(events.where("conv_id < 20")), usage.by_function(events))
+    first = F.col("seq.turn") == 0  # what had been used when the conversations began
+    return usage.delta(usage.by_function(events.where(first)), usage.by_function(events))
 
 
 @query("SELECT doc_id, i::INT AS pos, substr(text, 1 + i * 500, 500) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(1, (length(text) + 499) // 500))) AS i FROM documents)")
@@ -327,25 +367,39 @@ def chunk_split(spark, sf_dir):
 @query()
 def token_split(spark, sf_dir):
     """Token-exact chunks; together they are the text."""
-    chunks = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(tokens.split_by_tokens(256)(F.col("text"))).alias("pos", "chunk"))
-    return chunks.select("doc_id", "pos", "chunk", tokens.count_tokens(F.col("chunk")).alias("n_tokens"))
+    chunks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tokens.split_by_tokens(256)(F.col("text"))).alias("pos", "c"))
+    return chunks.select("doc_id", "pos", "c.chunk", "c.n_tokens")
 
 
 @query()
 def fit_pages(spark, sf_dir):
     p = pages(spark, sf_dir).select(urls.canonical(F.col("url")).alias("canon"), "url", text.visible_text(F.col("html")).alias("md"))
-    f = consolidate.fit_pages(p, RuleProvider(200), CRITERION, 4_000)
+    f = consolidate.fit_pages(p, consolidate.Fit(RuleProvider(200), CRITERION, 4_000))
     return spark.createDataFrame([(f.summarized, f.content_tokens, f.input_tokens, f.levels, f.text)], "summarized boolean, content_tokens long, input_tokens long, levels int, text string")
 
 
-@query("""SELECT 'Root:' || chr(10) || '  items: list[object]?' AS outline""")
+_OUTLINED = ("documents", "labels", "events", "embeddings", "lineitem")
+_KIND = "CASE column_type WHEN 'BIGINT' THEN 'integer' WHEN 'INTEGER' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'FLOAT' THEN 'number' WHEN 'FLOAT[]' THEN 'list[number]' ELSE 'string' END"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS name, 'Root:' || chr(10) || string_agg('  ' || column_name || ': ' || {_KIND} || '?', chr(10) ORDER BY n) AS outline FROM (SELECT *, row_number() OVER () AS n FROM (DESCRIBE {t}))" for t in _OUTLINED
+    )
+)
 def schema_outline(spark, sf_dir):
-    return spark.createDataFrame([(outline.outline_or_json("items array<struct<title: string, link: string>>"),)], "outline string")
+    """The outlines of the tables' own schemas."""
+    return spark.createDataFrame([(t, outline.outline_or_json(table(spark, sf_dir, t).schema)) for t in _OUTLINED], "name string, outline string")
 
 
-@query("SELECT page_id, sha256(substr(html, 1, 16000)) AS screened, sha256(substr(html, 1, 4000)) AS scored FROM pages")
+@query("""SELECT page_id, least(length(html), 16000) AS screened, least(length(html), 4000) AS scored, ceil(least(length(html), 16000) / 4)::BIGINT AS screen_tokens,
+ceil(least(length(html), 4000) / 4)::BIGINT AS score_tokens FROM pages""")
 def prefix_for_model(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.sha2(F.substring("html", 1, 16000), 256).alias("screened"), F.sha2(F.substring("html", 1, 4000), 256).alias("scored"))
+    """How much of a page the provider's calls see, and what they bill for it."""
+    screen = RuleProvider().screen(F.col("html"), CRITERION, F.col("url"))["usage"]
+    score = RuleProvider().score(html.extract_links(F.col("html"), F.col("url")), F.col("html"), CRITERION)["usage"]
+    used = pages(spark, sf_dir).select("page_id", screen.alias("a"), score.alias("b"))
+    return used.select("page_id", F.col("a.in_chars").alias("screened"), F.col("b.in_chars").alias("scored"), F.col("a.input_tokens").alias("screen_tokens"), F.col("b.input_tokens").alias("score_tokens"))
 
 
 @query("""WITH c AS (SELECT user_id, strftime(ts, '%Y%m%d%H%M%S') AS stamp, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status FROM events)
@@ -371,10 +425,14 @@ def policy_plausible(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", text.looks_like_policy(kind, body).alias("is_policy"))
 
 
-@query("SELECT role, CASE role WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 3 END::INT AS attempts, count(*) AS n FROM conversations GROUP BY 1")
+_ERROR = "CASE turn % 3 WHEN 0 THEN 'ReadTimeout' WHEN 1 THEN 'ConnectError' ELSE 'HTTP 503' END"
+
+
+@query(f"""SELECT conv_id, turn, e AS error, CASE WHEN e = 'ReadTimeout' THEN least(greatest(l, 1), 2) ELSE greatest(l, 1) END::INT AS attempts
+FROM (SELECT conv_id, turn, {_ERROR} AS e, (conv_id % 5)::INT AS l FROM conversations)""")
 def retry_attempts(spark, sf_dir):
-    limit = F.when(F.col("role") == "user", F.least(F.lit(3), F.lit(2))).otherwise(F.lit(3))
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n")).select("role", limit.alias("attempts"), "n")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_ERROR).alias("error"), (F.col("conv_id") % 5).cast("int").alias("limit"))
+    return rows.select("conv_id", "turn", "error", attempts_column(F.col("error"), F.col("limit")).alias("attempts"))
 
 
 @query()
@@ -384,7 +442,7 @@ def to_markdown(spark, sf_dir):
 
 @query()
 def result_json(spark, sf_dir):
-    result = _crawl(spark, sf_dir, 3)
+    result = _crawl(spark, sf_dir)
     return spark.createDataFrame([(result.to_json(),)], "json string")
 
 
@@ -395,17 +453,18 @@ def derived_web(p: DataFrame) -> DataFrame:
     return web.from_pages(p.select("url", linked.alias("html")))
 
 
-def _crawl(spark: SparkSession, sf_dir: str, fetches: int):
+def _crawl(spark: SparkSession, sf_dir: str):
+    """A crawl from the first page of every host, with the settings' own budget."""
     p = pages(spark, sf_dir)
-    first = [r["url"] for r in p.orderBy("page_id").limit(4).select("url").collect()]
-    crawler = Crawler("sources array<string>", CRITERION, settings=Settings(max_workers=64), allowed_domains=[], cache=None)
-    return crawler.extract(spark, Web(derived_web(p)), first, fetches)
+    first = p.groupBy(urls.host(F.col("url")).alias("site")).agg(F.min_by("url", "page_id").alias("url"), F.min("page_id").alias("id"))
+    crawler = Crawler("sources array<string>", CRITERION, settings=Settings(max_workers=1024), allowed_domains=[], cache=None)
+    return crawler.extract(spark, Web(derived_web(p)), [r["url"] for r in first.orderBy("id").select("url").collect()])
 
 
 @query()
 def crawl_waves(spark, sf_dir):
-    """A whole traversal from four seeds: the pages in the order of their visit, with their verdicts."""
-    result = _crawl(spark, sf_dir, 6)
+    """A whole traversal from a seed of every host: the pages in the order of their visit, with their verdicts."""
+    result = _crawl(spark, sf_dir)
     verdict = {v.url: v for v in result.verdicts}
     rows = [(i, u, getattr(verdict.get(u), "match", None), getattr(verdict.get(u), "reason", None)) for i, u in enumerate(result.path)]
     return spark.createDataFrame(rows, "visit int, url string, match boolean, reason string")

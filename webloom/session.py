@@ -6,7 +6,10 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def get_spark(name: str = "webloom", **conf: str) -> SparkSession:
@@ -29,6 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's as a relation in the plan itself: no task reads them."""
+    kind = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+    columns = list(zip(*rows)) or [()] * len(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), kind)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
