@@ -171,7 +171,7 @@ def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
     # lists are told apart by their size and two sums of hashes, so that none is gathered in a row
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
     lists = lists.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    members = posted.join(lists.hint("shuffle_hash"), "key").join(heads, "node").select(F.col("key").alias("list"), "node", "signature")
+    members = posted.join(lists.hint("shuffle_hash"), "key").join(heads.hint("shuffle_hash"), "node").select(F.col("key").alias("list"), "node", "signature")
     members = members.repartition(common.partitions(docs.sparkSession), "list").sortWithinPartitions("list", "node")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

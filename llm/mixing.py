@@ -130,7 +130,7 @@ def _slots(counts_of: DataFrame, p: Params) -> DataFrame:
     # a task's blocks lie in as many ranges of ``step`` indices as they touch: about one
     spans = F.explode(F.sequence(F.floor(F.col("base") / F.col("step")), F.floor((F.col("base") + F.col("blocks") - 1) / F.col("step"))))
     bases = bases.select("s", "source", "task", "base", "blocks", spans.alias("range"))
-    placed = slots.join(bases, ["s", "range"]).where("index >= base AND index < base + blocks")
+    placed = slots.join(bases.hint("shuffle_hash"), ["s", "range"])  # unhinted, the slots might be taken for as few as their shards, and broadcast.where("index >= base AND index < base + blocks")
     return placed.select("shard", "slot", "source", "epoch", "index", "task", (F.col("index") - F.col("base")).alias("nth"))
 
 
