@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -156,3 +157,38 @@ def test_second_run_replays(spark, graph, tmp_path):
 
 def test_waves_in_parallel_give_the_same_pages(spark, graph):
     assert set(crawl(spark, graph, settings=Settings(max_workers=1)).path) == {SEED, "http://docs.site.com/a", "http://other.org/b", "http://portal.net/c"}
+
+
+def test_pages_and_order_are_those_of_a_plain_loop(spark, site):
+    """A graph of pages with random links, scores, redirects and gaps, three pages a wave, against a loop over lists."""
+    rng = random.Random(12)
+    name = lambda i: f"{SEED}p{i}"
+    links = {i: rng.sample(range(18), rng.randrange(1, 5)) for i in range(14)}  # 14 to 17 don't exist
+    redirects = {name(3): name(5), name(16): name(2)}
+    score_of = {name(i): round(rng.random(), 3) for i in range(18)}
+    pages = {SEED: page(name(0), name(1), name(3))} | {name(i): page(*map(name, own)) for i, own in links.items() if name(i) not in redirects}
+    tables = Web(site(pages), spark.createDataFrame(list(redirects.items()), "url string, resolved string"))
+    score = lambda ls, t, c: [(u, score_of[u]) for _, u in ls]
+    r = crawl(spark, tables, provider=provider(score=score), settings=Settings(max_workers=3), fetches=9)
+
+    ahead, known, landed, path, fetched, seq = [(-9.0, 0, SEED)], {SEED}, set(), [], 0, 1
+    while ahead and fetched < 9:
+        ahead = sorted(x for x in ahead if x[2] not in landed)
+        batch, ahead = ahead[: min(3, 9 - fetched)], ahead[min(3, 9 - fetched) :]
+        offers = []
+        for _, _, url in batch:
+            at = redirects.get(url, url)
+            if at in landed:
+                continue
+            landed.add(at)
+            path.append(at)
+            if at in pages:
+                fetched += 1
+                offers += [u for u in ([name(0), name(1), name(3)] if at == SEED else list(map(name, links[int(at.rpartition("p")[2])]))) if u not in known]
+        known |= landed
+        for u in offers:
+            if u not in known:
+                known.add(u)
+                ahead.append((-score_of[u], seq, u))
+                seq += 1
+    assert r.path == path and r.pages_fetched == fetched and len(path) > 8

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +50,20 @@ def aligned_scores(links: DataFrame, scores: DataFrame, page: str) -> DataFrame:
 
 def seed_flag(url: Column, seeds: list[str]) -> Column:
     return urls.on_domains(urls.registrable_domain(urls.host(url)), seeds)
+
+
+def seed_flags(links: Column, seeds: list[str]) -> Column:
+    """yes, no or unknown (no domain) of each URL of an array."""
+
+    def told(url: str) -> str:
+        try:
+            own = urls.registrable(urls.urlsplit(url).hostname)
+        except ValueError:
+            own = ""
+        return "unknown" if not own or not seeds else "yes" if own in seeds else "no"
+
+    @F.arrow_udf("array<string>")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if own is None else [told(u) for u in own] for own in column.to_pylist()], pa.list_(pa.string()))
+
+    return run(links)

@@ -262,7 +262,7 @@ class Crawler:
         got = got.join(fresh_links, "pos", "left")
         asked = F.transform("__fresh", lambda x: F.struct(x["anchor"].alias("anchor"), x["url"].alias("url")))
         got = got.withColumn("asked", asked)
-        flags = F.transform("asked", lambda x: told(x["url"])) if s.prefer_seed_domain else None
+        flags = links.seed_flags(F.transform("asked", lambda x: x["url"]), seed_domains) if s.prefer_seed_domain else None
         unscored = F.when(F.col("cached").isNull(), F.col("asked"))
         called = self.provider.score(unscored, F.col("md"), self.criteria, flags, seed)
         got = got.withColumn("called", F.when(unscored.isNotNull(), called)).withColumn("given", F.col("called.scores"))
