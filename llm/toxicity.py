@@ -175,20 +175,21 @@ def votes(index: Index, rows: Iterable[tuple[np.ndarray, np.ndarray]], ids: list
 
 @dataclass(frozen=True)
 class Rows:
-    """The sampled labelled rows, in a fixed order: row i's different words and their counts are at bounds[i] .. bounds[i + 1]."""
+    """The sampled labelled rows, in a fixed order: row i's different words (their places in the vocabulary) and their counts are at bounds[i] .. bounds[i + 1]."""
 
     doc_id: list
     toxic: np.ndarray
     bounds: np.ndarray
-    hashed: np.ndarray
+    term: np.ndarray
     count: np.ndarray
 
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.doc_id), dtype=np.int32), np.diff(self.bounds))
 
 
-def association(rows: Rows, term: np.ndarray, n_terms: int) -> np.ndarray:
+def association(rows: Rows, n_terms: int) -> np.ndarray:
     """Chi-square of each word's presence and the label; rows of both labels."""
+    term = rows.term
     n, n_toxic = len(rows.doc_id), int(rows.toxic.sum())
     held = np.bincount(term, minlength=n_terms).astype(float)
     a = np.bincount(term[rows.toxic[rows.row()] == 1], minlength=n_terms).astype(float)
@@ -198,19 +199,21 @@ def association(rows: Rows, term: np.ndarray, n_terms: int) -> np.ndarray:
 
 
 def build_index(rows: Rows, word: np.ndarray, seen: np.ndarray, total: int, p: Params) -> Index:
-    """word: the rows' words, sorted; seen: the documents of each of all documents."""
+    """word: the hashes of the rows' words, sorted; seen: how many of all documents hold each."""
     prior = float(rows.toxic.mean()) if len(rows.doc_id) else 0.0
     idf = np.log((1 + total) / (1 + np.append(seen, 0))) + 1
     none = np.zeros(0, np.int64)
     index = Index(word, idf, np.full(len(word), -1), np.zeros((0, 0)), np.zeros(len(word) + 2, np.int64), none, np.zeros(0), np.zeros(1, np.int64), none, np.zeros(0), [], np.zeros(0), np.zeros(0), prior)
     if not 0 < prior < 1:
         return index
-    term = np.searchsorted(word, rows.hashed).astype(np.int32)  # every word is there
-    idf[:-1] *= np.sqrt(1 + association(rows, term, len(word)) / p.least_chi2)
-    value = (1 + np.log(rows.count)) * idf[term]
-    length = np.sqrt(np.add.reduceat(np.append(value * value, 0.0), np.minimum(rows.bounds[:-1], len(value))))
-    value /= np.repeat(np.maximum(length, 1e-12), np.diff(rows.bounds))
+    term = rows.term
+    idf[:-1] *= np.sqrt(1 + association(rows, len(word)) / p.least_chi2)
+    value = np.log(rows.count)
+    value += 1
+    value *= idf[term]
     filled = np.flatnonzero(np.diff(rows.bounds))
+    for a, b in zip(rows.bounds[filled].tolist(), rows.bounds[filled + 1].tolist()):
+        value[a:b] /= np.sqrt(value[a:b] @ value[a:b])
     chosen = np.sort(np.concatenate([filled[rows.toxic[filled] == y][: p.examples] for y in (0, 1)]))
     if not len(chosen):
         return index
@@ -279,9 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Index:
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array([o[k] for o in own], pa.binary()) for k in (0, 1)]], names=["hash", "doc_id", "toxic", "words", "counts"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", "toxic")}
-    found = rows.select("__hash", "doc_id", "toxic", "text").mapInArrow(sample, f"hash long, doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, words binary, counts binary").toArrow()
-    found = gathered(found.sort_by("hash"))
-    word = np.unique(found.hashed)
+    found = rows.select("__hash", "doc_id", "toxic", "text").mapInArrow(sample, f"hash long, doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, words binary, counts binary")
+    found, word = gathered(found.toLocalIterator())  # a partition at a time
     shared = docs.sparkSession.sparkContext.broadcast(word)  # words of labelled_rows rows
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,12 +298,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Index:
     return build_index(found, word, counts[:-2], int(counts[-1]), params)
 
 
-def gathered(table: pa.Table) -> Rows:
-    """Rows of doc_id, toxic, words and counts."""
-    words, counts = ([np.frombuffer(x.as_buffer(), kind) for x in table[c]] for c, kind in (("words", np.uint64), ("counts", np.int32)))
-    toxic = np.array([int(bool(y)) for y in table["toxic"].to_pylist()], np.int8)
-    bounds = np.cumsum([0, *map(len, words)])
-    return Rows(table["doc_id"].to_pylist(), toxic, bounds, np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate([np.zeros(0, np.int32), *counts]))
+def gathered(found: Iterator) -> tuple[Rows, np.ndarray]:
+    """The sampled rows and the sorted hashes of their words, from rows of hash, doc_id, toxic, words and counts."""
+    own = sorted(((r["hash"], r["doc_id"], int(bool(r["toxic"])), np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in found), key=lambda r: r[0])
+    ids, toxic, sizes = [r[1] for r in own], np.array([r[2] for r in own], np.int8), [len(r[3]) for r in own]
+    hashed, count = np.concatenate([np.zeros(0, np.uint64), *[r[3] for r in own]]), np.concatenate([np.zeros(0, np.int32), *[r[4] for r in own]])
+    own.clear()
+    word = np.unique(hashed)
+    return Rows(ids, toxic, np.cumsum([0, *sizes]), np.searchsorted(word, hashed).astype(np.int32), count), word
 
 
 def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), index: Index | None = None) -> DataFrame:

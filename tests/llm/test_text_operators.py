@@ -97,7 +97,7 @@ def test_nearest_is_exact_though_blocks_are_skipped():
         own = np.unique(np.concatenate([rng.integers(0, 40, 4), 40 + theme * 18 + rng.integers(0, 18, 8)]))
         rows.append((i, int(i % 2), own.astype(np.uint64), rng.integers(1, 4, len(own))))
     seen = sum(np.bincount(r[2].astype(int), minlength=600) for r in rows)
-    flat = toxicity.Rows([r[0] for r in rows], np.array([r[1] for r in rows]), np.cumsum([0, *[len(r[2]) for r in rows]]), np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]))
+    flat = toxicity.Rows([r[0] for r in rows], np.array([r[1] for r in rows]), np.cumsum([0, *[len(r[2]) for r in rows]]), np.concatenate([r[2] for r in rows]).astype(np.int32), np.concatenate([r[3] for r in rows]))
     index = toxicity.build_index(flat, word, seen, 900, toxicity.Params())
     every = [next(toxicity.vectors(index.word, index.idf, np.array([0, len(r[2])]), r[2], r[3])) for r in rows]
     dense = np.zeros((900, 600))
