@@ -96,9 +96,29 @@ def _matrix(column: pa.Array, p: Params) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), p.coordinates)
 
 
+#: Members of a list from which on those that can link to no other are taken out first.
+LONG = 256
+
+
+def _common(signature: np.ndarray, matches: int) -> np.ndarray:
+    """The rows that agree with others, whichever these are, in ``matches`` coordinates or more; again among them, until all do."""
+    own = np.arange(len(signature))
+    while True:
+        shared = np.zeros(len(own), np.int64)
+        for column in signature[own].T:
+            order = np.argsort(column, kind="stable")
+            same = column[order[1:]] == column[order[:-1]]
+            shared[order[1:][same]] += 1
+            shared[order[:-1][same & ~np.append(False, same[:-1])]] += 1  # a run's first
+        keep = shared >= matches
+        if keep.all():
+            return own
+        own = own[keep]
+
+
 def linked(row: np.ndarray, signature: np.ndarray, matches: int) -> Iterator[tuple[np.ndarray, int]]:
     """Groups of the rows that agree in ``matches`` coordinates or are joined by such links: (members, least member)."""
-    left = np.arange(len(row))
+    left = np.arange(len(row)) if len(row) < LONG else _common(signature, matches)
     while len(left) > 1:
         group, border, left = [left[0]], [left[0]], left[1:]
         while border and len(left):

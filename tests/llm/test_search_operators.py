@@ -75,6 +75,24 @@ def test_links_and_copies(make):
     assert [(rows[i]["n_links"], rows[i]["n_copies"], rows[i]["group_size"]) for i in (35, 36, 37, 38)] == [(0, 2, 2)] * 2 + [(0, 1, 1)] * 2
 
 
+def test_long_lists_link_as_short_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    signature = rng.integers(0, 1 << 32, (600, 64)).astype(np.uint32)
+    signature[:, 0] = 7
+    for i in range(0, 600, 3):  # pairs and triples at 28 to 40 equal coordinates
+        n = 28 + i % 13
+        signature[i + 1, :n] = signature[i, :n]
+        signature[i + 2, 64 - n :] = signature[i + 1, 64 - n :]
+    groups = lambda: sorted((sorted(m.tolist()), least) for m, least in minhash.linked(np.arange(600), signature, 32))
+    long = groups()
+    monkeypatch.setattr(minhash, "LONG", 10_000)
+    assert long == groups() and len(long) > 100
+    apart = rng.integers(0, 1 << 32, (30_000, 64)).astype(np.uint32)
+    apart[:, 0] = 7
+    monkeypatch.setattr(minhash, "LONG", 256)
+    assert list(minhash.linked(np.arange(30_000), apart, 32)) == []  # not a comparison of each with each
+
+
 def test_signature_estimates_jaccard():
     rng = random.Random(1)
     a = prose(rng, 400)
