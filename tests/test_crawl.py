@@ -10,6 +10,7 @@ from webloom.providers.base import FunctionProvider
 from webloom.sources import web
 
 SEED = "http://www.site.com/"
+pytestmark = pytest.mark.usefixtures("small_plans")
 
 
 def provider(screen=lambda t, c: (True, "r"), score=lambda ls, t, c: [(u, 0.9) for _, u in ls]):
@@ -22,18 +23,6 @@ def crawl(spark, tables, seeds=SEED, fetches=None, direct=None, settings=Setting
     return Crawler("sources array<string>", "goal", settings=settings, **kw).extract(spark, tables, seeds, fetches, seed_is_content=direct)
 
 
-@pytest.fixture(scope="module", autouse=True)
-def small_plans(spark):
-    """No compilation and no exchange of partitions for a handful of rows."""
-    own = {"spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in own}
-    for k, v in own.items():
-        spark.conf.set(k, v)
-    yield
-    for k, v in before.items():
-        spark.conf.set(k, v)
-
-
 @pytest.fixture
 def graph(site):
     return Web(site({SEED: page("http://docs.site.com/a", "http://other.org/b", "http://portal.net/c"), "http://docs.site.com/a": page(), "http://other.org/b": page(), "http://portal.net/c": page()}))

@@ -130,6 +130,7 @@ def test_recovery_routes(server):
     assert http.Live(Settings())._jina(url) is None and http.Live(Settings())._wayback(url) is None
 
 
+@pytest.mark.usefixtures("small_plans")
 def test_live_crawl(spark, server, capsys):
     from webloom.providers.base import FunctionProvider
 

@@ -143,7 +143,8 @@ class Crawler:
         path, verdicts, fallbacks, fetched, waves = [], [], {}, 0, []
 
         while fetched < budget:
-            batch = frontier.pop(ahead, min(max(1, s.max_workers), budget - fetched))
+            most = min(max(1, s.max_workers), budget - fetched)
+            batch = frontier.pop(ahead, most)
             batch = batch.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "seq")))  # a batch's few rows
             outcomes = saved(self._outcomes(batch, web, known, policies, overrides, memo, store, seed_domains, seeds[0], direct, has_routes), "wave")
             light = sorted(outcomes.select("pos", "canon_asked", "url", "resolved", "canon", "skipped_by_policy", "kind", "via", "verdict", "error", "failed_url", "status_given", "written_off", "usage", "hit").collect())
@@ -188,6 +189,8 @@ class Crawler:
             known = known.union(outcomes.where("NOT skipped_by_policy").select("canon"))
             new = saved(frontier.push(offered, known, ["pos", "link_pos"], len(waves)), "push")
             known = known.union(new.select("canon"))
+            if len(light) < most and new.isEmpty():
+                break  # all that lay ahead was popped, and nothing came
             gone = outcomes.select(F.explode(F.array("canon_asked", "canon")).alias("canon"))
             ahead = ahead.join(gone, "canon", "left_anti").select(*new.columns).union(new)
             if len(waves) % COMPACT == 0:  # else both are unions of the waves' tables
