@@ -181,3 +181,52 @@ def test_pages_and_order_are_those_of_a_plain_loop(spark, site):
                 ahead.append((-score_of[u], seq, u))
                 seq += 1
     assert r.path == path and r.pages_fetched == fetched and len(path) > 8
+
+
+def moved(df):
+    """Bytes that the plan's exchanges moved, and the rows."""
+    rows, total, plans = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        node = plans.pop()
+        if node.metrics().contains("dataSize") and "Shuffle" in node.getClass().getSimpleName():
+            total += node.metrics().apply("dataSize").value()
+        plans += [node.children().apply(i) for i in range(node.children().size())]
+    return total, rows
+
+
+def test_a_wave_moves_its_own_pages_alone(spark):
+    others = [(f"http://www.site.com/{i}", 200, "text/html", "x" * 5_000, None) for i in range(400)]
+    found = [("http://nowhere.com/" + str(i), "jina", 0, "y" * 5_000, "text/html", "") for i in range(400)] + [("http://gone.com/", "jina", 0, "<p>body</p>", "text/html", "r")]
+    leads = [(f"http://old.com/{i}", f"http://www.site.com/{i}") for i in range(400)] + [("http://old.com/", SEED)]
+    tables = Web(
+        spark.createDataFrame([(SEED, 200, "text/html", page("http://www.site.com/1"), None), *others], web.WEB),
+        spark.createDataFrame(leads, "url string, resolved string"),
+        spark.createDataFrame(found, web.CANDIDATES),
+    )
+    asked = ["http://old.com/", "http://gone.com/", "http://www.site.com/7"]
+    batch = spark.createDataFrame([(u, u, 1.0, i, None, i) for i, u in enumerate(asked)], "canon string, url string, score double, seq long, source string, pos int")
+    own = {"spark.sql.shuffle.partitions": "4", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        out = Crawler("sources array<string>", "goal", provider=provider(), cache=None)._outcomes(batch, tables, batch.select("canon"), None, [], None, None, ["site.com"], SEED, False, True)
+        size, rows = moved(out)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {r["url"]: (r["resolved"], r["kind"], r["via"], len(r["md"])) for r in rows}
+    assert got["http://old.com/"][:3] == (SEED, "html", None) and got["http://gone.com/"][:3] == ("http://gone.com/", "html", "r") and got[asked[2]][3] == 5_000
+    assert size < 400_000
+
+
+def test_pages_linked_to_the_next_of_their_site(spark):
+    from webloom.queries import derived_web
+
+    rows = [(None, "http://a.com/n", "n"), (2, "http://a.com/2", "b"), (1, "http://a.com/1", "a"), (3, "http://a.com/2", "c"), (4, "http://b.com/", "d")]
+    made = derived_web(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    link = lambda u: f'<a href="{u}">policy next</a>'
+    want = [("http://a.com/1", "a" + link("http://a.com/2")), ("http://a.com/2", "b" + link("http://a.com/2")), ("http://a.com/2", "c"), ("http://a.com/n", "n" + link("http://a.com/1")), ("http://b.com/", "d")]
+    assert sorted((r["url"], r["body"]) for r in made.collect()) == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan

@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import html, text, urls
@@ -65,6 +65,18 @@ class LiveWeb:
         return Web(pages, got.where("url <> resolved").select("url", "resolved"), saved(self.live.candidates(lost), "candidates") if has_routes else None)
 
 
+def _few(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is in ``wanted``, a column of a wave's few values: these are sent to the rows, so that a large table isn't moved."""
+    return rows.join(F.broadcast(wanted.toDF(key).distinct()), key, "left_semi")
+
+
+def narrowed(web: Web, wanted: DataFrame) -> Web:
+    """The web's tables with the rows alone that the column ``wanted`` of a wave's URLs leads to."""
+    redirects = None if web.redirects is None else _few(web.redirects, "url", wanted)
+    reached = wanted if redirects is None else wanted.union(redirects.select("resolved"))
+    return replace(web, pages=_few(web.pages, "url", reached), redirects=redirects, candidates=None if web.candidates is None else _few(web.candidates, "url", reached))
+
+
 _DEFAULT = object()
 
 
@@ -144,8 +156,8 @@ class Crawler:
 
         while fetched < budget:
             most = min(max(1, s.max_workers), budget - fetched)
-            batch = frontier.pop(ahead, most)
-            batch = batch.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "seq")))  # a batch's few rows
+            popped = [(r["canon"], r["url"], r["score"], r["seq"], r["source"], i + 1) for i, r in enumerate(frontier.pop(ahead, most).collect())]  # as many as the settings' workers
+            batch = local_table(spark, popped, "canon string, url string, score double, seq long, source string, pos int")
             outcomes = saved(self._outcomes(batch, web, known, policies, overrides, memo, store, seed_domains, seeds[0], direct, has_routes), "wave")
             light = sorted(outcomes.select("pos", "canon_asked", "url", "resolved", "canon", "skipped_by_policy", "kind", "via", "verdict", "error", "failed_url", "status_given", "written_off", "usage", "hit").collect())
             if not light:
@@ -221,17 +233,17 @@ class Crawler:
             batch = saved(batch, "batch")
             policies = live.rules(batch.sparkSession, batch.select("url")) if s.respect_robots else None
         rows = batch.withColumn("canon_asked", F.col("canon")).drop("canon")
-        rows = source.allowed(rows, policies, s.user_agent, "url", overrides) if policies is not None else rows.withColumn("allow", F.lit(True))
+        own = lambda rows, url: _few(policies, "origin", rows.select(urls.origin(F.col(url))))
+        rows = source.allowed(rows, own(rows, "url"), s.user_agent, "url", overrides) if policies is not None else rows.withColumn("allow", F.lit(True))
         off = None
         if memo is not None and has_routes:
             off = memo.where(f"NOT answered AND n_silent >= {s.transport_memo_failures}").select("domain")
-        if live is not None:
-            web = live.tables(rows.where("allow").select("url"), has_routes)
+        web = live.tables(rows.where("allow").select("url"), has_routes) if live is not None else narrowed(web, batch.select("url"))
         got = source.fetch(rows.where("allow"), web.pages, web.redirects, web.candidates if has_routes else None, off, s.follow_pdf, s.min_recovered_text_chars)
         if live is not None and policies is not None:
             policies = live.rules(batch.sparkSession, web.pages.select("url"))
         if policies is not None:
-            got = source.allowed(got, policies, s.user_agent, "resolved", overrides, "allow")
+            got = source.allowed(got, own(got, "resolved"), s.user_agent, "resolved", overrides, "allow")
             got = got.withColumn("allow", F.col("allow") | (urls.canonical(F.col("resolved")) == F.col("canon_asked")))
         refused = rows.where("NOT allow").withColumn("resolved", F.col("url"))
         got = got.unionByName(refused, allowMissingColumns=True).withColumn("skipped_by_policy", ~F.col("allow")).withColumn("canon", urls.canonical(F.col("resolved")))

@@ -11,7 +11,7 @@ from webloom.functions import html, text, tokens, urls
 from webloom.operators import cache, consolidate, frontier, hostmemo, links, outline, recovery, usage
 from webloom.plans.crawl import Crawler, Web
 from webloom.providers.base import RuleProvider
-from webloom.session import shared_dir
+from webloom.session import saved, shared_dir
 from webloom.settings import Settings, attempts_column
 from webloom.sources import web
 
@@ -447,10 +447,16 @@ def result_json(spark, sf_dir):
 
 
 def derived_web(p: DataFrame) -> DataFrame:
-    """The pages with one more link each, to the next page of their site; the stored links lead to no stored page."""
+    """The pages with one more link each, to the next page of their site; the stored links lead to no stored page.
+
+    The order is made of the keys alone, and all is written once: each wave of a crawl reads it.
+    """
     following = F.lead("url").over(Window.partitionBy(urls.host(F.col("url"))).orderBy("page_id"))
-    linked = F.when(following.isNotNull(), F.concat(F.col("html"), F.lit('<a href="'), following, F.lit('">policy next</a>'))).otherwise(F.col("html"))
-    return web.from_pages(p.select("url", linked.alias("html")))
+    keys = p.select(F.col("page_id").alias("__id"), F.col("url").alias("__url"), following.alias("__next")).where("__next IS NOT NULL")
+    keys = keys.groupBy("__id", "__url").agg(F.max("__next").alias("__next"))  # rows that are alike stay as many
+    linked = F.when(F.col("__next").isNotNull(), F.concat(F.col("html"), F.lit('<a href="'), F.col("__next"), F.lit('">policy next</a>'))).otherwise(F.col("html"))
+    both = p.join(keys, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("url") == F.col("__url")), "left")
+    return web.from_pages(saved(both.select("url", linked.alias("html")), "web"))
 
 
 def _crawl(spark: SparkSession, sf_dir: str):
