@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import sliced
+
 VOCABULARY = os.environ.get("WEBLOOM_TOKEN_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -47,6 +49,7 @@ def count_tokens(column: Column, model: str = "", name: str = "", join: str = ""
     """The tokens of each text; with ``join`` those it adds where that and a line that begins with a dash come after it."""
 
     @F.arrow_udf(T.LongType())
+    @sliced
     def run(text: pa.Array) -> pa.Array:
         extra = count("-", model, name) if join else 0
         return pa.array([count((t or "") + join + "-" * bool(join), model, name) - extra for t in text.to_pylist()], pa.int64())
@@ -68,6 +71,7 @@ def split_by_tokens(most: int, model: str = "", name: str = ""):
     kind = pa.list_(pa.struct([("chunk", pa.string()), ("n_tokens", pa.int64())]))
 
     @F.arrow_udf("array<struct<chunk: string, n_tokens: long>>")
+    @sliced
     def run(text: pa.Array) -> pa.Array:
         return pa.array([None if t is None else pieces(t, most, model, name) for t in text.to_pylist()], kind)
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Bytes of an Arrow batch; rows alone say little of a batch of pages.
+BATCH_BYTES, MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def get_spark(name: str = "webloom", **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config(BATCH_BYTES, MOST_BYTES)
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
@@ -40,6 +46,19 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), kind)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started within send Arrow batches of a few MB to Python, unless the session has a limit of its own."""
+    if spark.conf.get(BATCH_BYTES, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_BYTES, MOST_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -47,7 +66,8 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and outlives any executor; removed when Python ends."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     _written.append((df.sparkSession, path))
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
