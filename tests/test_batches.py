@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from html_pages import page
+from webloom import queries
 from webloom.functions import batches, html, text, tokens
 from webloom.session import BATCH_BYTES, saved
 
@@ -52,3 +53,9 @@ def test_batches_of_saved_steps_are_small(spark):
     assert saved(wide, "test").agg(F.max("n")).first()[0] < 4_000
     assert spark.conf.get(BATCH_BYTES, None) is None
     assert wide.agg(F.max("n")).first()[0] == 8_000
+
+
+def test_keys_of_refused_links_are_made_once_a_link(spark):
+    """Not for each mention, in a worker beside the one that reads the page."""
+    plan = queries.blocked_once(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("domain_of") < plan.index("Aggregate") < plan.index("extract_links")

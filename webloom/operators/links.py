@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import html, text, urls
+from webloom.functions.batches import sliced
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -36,7 +37,8 @@ def within(links: DataFrame, allowed: DataFrame | None, link: str = "link") -> D
 
 def blocked_once(links: DataFrame, allowed: DataFrame, link: str = "link") -> DataFrame:
     """The distinct URLs that the boundary refuses, with their key."""
-    return links.select(link, urls.domain_of(F.col(link)).alias("domain")).distinct().join(allowed.select("domain"), "domain", "left_anti")
+    once = links.select(link).distinct()  # before the keys are made: few URLs, and the readers of the pages have ended
+    return once.withColumn("domain", urls.domain_of(F.col(link))).select(link, "domain").join(allowed.select("domain"), "domain", "left_anti")
 
 
 def aligned_scores(links: DataFrame, scores: DataFrame, page: str) -> DataFrame:
@@ -63,6 +65,7 @@ def seed_flags(links: Column, seeds: list[str]) -> Column:
         return "unknown" if not own or not seeds else "yes" if own in seeds else "no"
 
     @F.arrow_udf("array<string>")
+    @sliced
     def run(column: pa.Array) -> pa.Array:
         return pa.array([None if own is None else [told(u) for u in own] for own in column.to_pylist()], pa.list_(pa.string()))
 

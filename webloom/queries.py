@@ -11,7 +11,7 @@ from webloom.functions import html, text, tokens, urls
 from webloom.operators import cache, consolidate, frontier, hostmemo, links, outline, recovery, usage
 from webloom.plans.crawl import Crawler, Web
 from webloom.providers.base import RuleProvider
-from webloom.session import saved, shared_dir
+from webloom.session import local_table, saved, shared_dir
 from webloom.settings import Settings, attempts_column
 from webloom.sources import web
 
@@ -38,7 +38,7 @@ def unit(column: Column) -> Column:
 
 
 def domains(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in ALLOWED], "domain string")
+    return local_table(spark, [(d,) for d in ALLOWED], "domain string")
 
 
 _LINKS = r"""
